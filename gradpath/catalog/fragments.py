@@ -127,7 +127,7 @@ from (select *, {modified} modified from base) b where {when}"""
         rows.insert(0, """select b.id, 0 kind, 'Career Path Suggestion' title,
 'Learning these skills can help you transition towards your desired role.' description, 'Learn: ' || learn change_summary,
 orig original_risk, orig modified_risk, '🧠' icon, 'Skills' factor_changed, 'Current Skills' original_value, learn suggested_value
-from base b join career c on c.id = b.id""")
+from base b join career c on c.id = b.id and c.learn <> ''""")
     numbered = f"""scenarios as (
 select id, cast(row_number() over (partition by id order by risk_delta desc, scenario_id) as int) rank, title, description, change_summary,
   original_risk, modified_risk, risk_delta,

@@ -1 +1,80 @@
-"""x"""
+"""Queries on trained models: smaller ensembles than the full size, on all profiles.
+
+A bundle is trained once per session and data folder and then used by every query that
+needs one, as a served model would be.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradpath.catalog.registry import encoded, query
+from gradpath.operators import attribution as at
+from gradpath.operators import graph as gr
+from gradpath.operators.balance import split
+from gradpath.operators.models import Settings, confusion, fit_booster, safe_score
+from gradpath.operators.scoring import score, with_bands
+from gradpath.plans.train import Bundle, train
+from gradpath.schema import FEATURES, LABEL
+from gradpath.sources.views import load
+
+# the API's defaults are the full size; these keep a query within seconds
+SMALL = Settings(forest_trees=20, rounds=10, folds=3)
+_bundles: dict[tuple[str, str], Bundle] = {}
+
+
+def bundle(spark, d) -> Bundle:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _bundles:
+        _bundles[key] = train(load(spark, d, "unbalanced"), gr.build_edges(load(spark, d, "catalogue")), SMALL)
+    return _bundles[key]
+
+
+def _outcome(spark, d):
+    """The hold-out rows scored by the stack, as one row of counts."""
+    held = split(encoded(spark, d, "unbalanced")).filter("not in_train")
+    return confusion(score(held, bundle(spark, d).stack))
+
+
+def _items(df, columns: list[str]):
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in columns])))
+
+
+@query("train_report")
+def train_report(spark, d):
+    """(item, value): hold-out outcome, base value of the booster, size of the graph."""
+    graph = gr.SkillGraph.from_edges(bundle(spark, d).edges, measure=False)
+    outcome = _items(_outcome(spark, d), ["n", "true_pos", "false_pos", "true_neg", "false_neg", "accuracy"])
+    return outcome.unionByName(_items(graph.summary(), ["jobs", "skills", "nodes", "edges"]))
+
+
+@query("holdout_accuracy")
+def holdout_accuracy(spark, d):
+    return _outcome(spark, d).select("n", "accuracy")
+
+
+@query("stacked_scores")
+def stacked_scores(spark, d):
+    """Every profile scored by the stacked model."""
+    trained = bundle(spark, d)
+    coded = encoded(spark, d, "unbalanced")
+    return with_bands(score(coded, trained.stack)).select("id", LABEL, "prediction", F.round("p", 6).alias("p"), "risk_level")
+
+
+@query("tree_attribution")
+def tree_attribution(spark, d):
+    """Exact path-dependent Shapley values of the booster, one row per profile and feature."""
+    trained = bundle(spark, d)
+    explainer = trained.attribution()
+    coded = encoded(spark, d, "unbalanced").withColumn("phi", explainer.column(trained.booster.inputs()))
+    shap = {f: F.col("phi")[i] for i, f in enumerate(FEATURES)}
+    done = at.signed(coded.withColumn("impacts", at.impact_array(shap)))
+    return at.factor_rows(done, None).select("id", "rank", "feature", F.round("impact", 6).alias("impact"), F.round(F.lit(explainer.base_value), 6).alias("base_value"))
+
+
+@query("plain_booster")
+def plain_booster(spark, d):
+    """The earlier variant: one booster on raw, unbalanced data; unusable rows score 0."""
+    trained = bundle(spark, d)
+    model = fit_booster(encoded(spark, d, "unbalanced"), SMALL, scale=False)
+    return safe_score(load(spark, d, "unbalanced"), model, trained.gender, trained.stream).select("id", F.round("p", 6).alias("p"))

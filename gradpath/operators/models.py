@@ -7,7 +7,6 @@ another are submitted from a few threads, so the cluster is not idle between sma
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from contextvars import copy_context
 from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Mapping
@@ -16,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradpath.operators.balance import assign_folds
 from gradpath.operators.scale import MedianImputer, PopulationScaler
@@ -77,9 +76,10 @@ def processed(preprocessor: PipelineModel, features: Mapping[str, Column]) -> Co
     return F.array(*values)
 
 
-def _together(tasks: list[Callable], threads: int) -> list:
+def _together(spark: SparkSession, tasks: list[Callable], threads: int) -> list:
+    """Results of the tasks, run from a few threads that carry the session's job settings."""
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        running = [pool.submit(copy_context().run, inheritable_thread_target(t)) for t in tasks]
+        running = [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]
         return [r.result() for r in running]
 
 
@@ -98,7 +98,7 @@ def out_of_fold(train: DataFrame, s: Settings) -> DataFrame:
     tasks = [
         (lambda b=b, k=k: b().fit(train.filter(F.col("fold") != k))) for k in range(s.folds) for b in builders.values()
     ]
-    models = _together(tasks, s.threads)
+    models = _together(train.sparkSession, tasks, s.threads)
     for k in range(s.folds):
         held = train.filter(F.col("fold") == k)
         for j, name in enumerate(builders):
@@ -133,7 +133,7 @@ def fit_stack(train: DataFrame, key: Column | str, s: Settings = Settings(), pre
     try:
         n = data.count()
         builders = base_estimators(s)
-        bases = dict(zip(builders, _together([(lambda b=b: b().fit(data)) for b in builders.values()], s.threads)))
+        bases = dict(zip(builders, _together(data.sparkSession, [(lambda b=b: b().fit(data)) for b in builders.values()], s.threads)))
         oof = out_of_fold(data, s)
         level = oof.select(LABEL, array_to_vector(F.array(*[f"p_{b}" for b in builders])).alias("_z"))
         # unit penalty on the summed loss, as a share of the mean loss Spark minimises

@@ -19,7 +19,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from gradpath.session import ensure_checkpoint_dir
 
@@ -110,9 +110,11 @@ class TreeAttribution:
     @classmethod
     def from_saved(cls, spark: SparkSession, path: str) -> "TreeAttribution":
         """From a saved booster: its node table and tree weights (both bounded by the model)."""
-        weights = {r["treeID"]: r["weights"] for r in _read_part(spark, path, "treesMetadata", "treeID", "weights").collect()}
+        # the columns of the metadata are told by place, their names differ between versions
+        metadata = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight")
+        weights = {r["treeID"]: r["weight"] for r in metadata.select("treeID", "weight").collect()}
         trees: dict[int, dict[int, dict]] = {}
-        for r in _read_part(spark, path, "data", "treeID", "nodeData").collect():
+        for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData").collect():
             n = r["nodeData"]
             trees.setdefault(r["treeID"], {})[n["id"]] = {
                 "prediction": n["prediction"], "cover": n["rawCount"], "left": n["leftChild"], "right": n["rightChild"],
@@ -142,7 +144,3 @@ class TreeAttribution:
             return pd.Series(list(np.vstack(blocks)))
 
         return attribute(features)
-
-
-def _read_part(spark: SparkSession, path: str, part: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{part}").select(*columns)
