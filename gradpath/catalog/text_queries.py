@@ -114,13 +114,13 @@ def client_addresses(spark, d):
     return load(spark, d, "requests").select("event_id", client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("peer")).alias("ip"))
 
 
-@query("event_time_ist", with_views(f"select event_id, {_AT} as "at" from {{events}}"))
+@query("event_time_ist", with_views(f"select event_id, {_AT} seen_at from {{events}}"))
 def event_time_ist(spark, d):
-    return load(spark, d, "events").select("event_id", india_time(F.col("ts")).alias("at"))
+    return load(spark, d, "events").select("event_id", india_time(F.col("ts")).alias("seen_at"))
 
 
 @query("request_log", with_views(
-    f"select event_id, {_AT} as "at", {_IP} ip, '[IP: ' || {_IP} || '] ' || method || ' ' || path || ' → ' || status line from {{requests}}"))
+    f"select event_id, {_AT} seen_at, {_IP} ip, '[IP: ' || {_IP} || '] ' || method || ' ' || path || ' → ' || status line from {{requests}}"))
 def request_log(spark, d):
     return re_.log_lines(load(spark, d, "requests"))
 

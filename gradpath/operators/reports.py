@@ -145,10 +145,10 @@ def chat_history(messages: DataFrame, runs: int = HISTORY_RUNS) -> DataFrame:
 
 
 def log_lines(requests: DataFrame) -> DataFrame:
-    """(event_id, at, ip, line) for a request log."""
+    """(event_id, seen_at, ip, line) for a request log."""
     ip = client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("peer"))
     line = F.concat(F.lit("[IP: "), F.col("ip"), F.lit("] "), F.col("method"), F.lit(" "), F.col("path"), F.lit(" → "), F.col("status").cast("string"))
-    return requests.withColumns({"at": india_time(F.col("ts")), "ip": ip}).select("event_id", "at", "ip", line.alias("line"))
+    return requests.withColumns({"seen_at": india_time(F.col("ts")), "ip": ip}).select("event_id", "seen_at", "ip", line.alias("line"))
 
 
 def log_counts(requests: DataFrame) -> DataFrame:
