@@ -14,7 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000  # accuracy of the approximate quantiles that bracket a median
-INLINE_VALUES = 1_000_000  # distinct values of a bracket that may go to the driver
+INLINE_VALUES = 200_000  # distinct values of a bracket that may go to the driver
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -25,37 +25,44 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     values inside a bracket reach the driver, and their number is checked. A bracket with
     more is narrowed by its own quantiles, which hold a ten-thousandth of the rows at most.
     """
-    probabilities = [0.5 - 4.0 / ACCURACY, 0.5 + 4.0 / ACCURACY]
+    margin = 4.0 / ACCURACY
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    stats = {
-        r["name"]: r
-        for r in long.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("value", probabilities, ACCURACY).alias("q")).collect()
-    }
-    out: dict[str, float | None] = {}
-    for c in columns:
-        if c not in stats:
-            out[c] = None
-            continue
-        n, (low, high) = stats[c]["n"], stats[c]["q"]
-        mine = long.filter(F.col("name") == c)
-        out[c] = _median_between(mine, n, low, high, probabilities)
+    spots = F.percentile_approx("value", [0.5 - margin, 0.5 + margin], ACCURACY)
+    stats = {r["name"]: r for r in long.groupBy("name").agg(F.count("*").alias("n"), spots.alias("q")).collect()}
+    out: dict[str, float | None] = {c: None for c in columns}
+    for c, found in stats.items():
+        out[c] = _median_between(long.filter(F.col("name") == c), found["n"], *found["q"])
     return out
 
 
-def _median_between(values: DataFrame, n: int, low: float, high: float, probabilities: list[float]) -> float:
+def _median_between(values: DataFrame, n: int, low: float, high: float) -> float:
+    """The median of ``values``, looked for between ``low`` and ``high``."""
     lower_rank, upper_rank = (n - 1) // 2, n // 2
+
+    def holds(a: float, b: float) -> tuple[bool, int, int]:
+        r = values.agg(F.count_if(F.col("value") < a).alias("below"), F.count_if(F.col("value").between(a, b)).alias("inside")).first()
+        return r["below"] <= lower_rank and upper_rank < r["below"] + r["inside"], r["below"], r["inside"]
+
+    found, below, width = holds(low, high)
+    if not found:  # a bracket is only trusted when it has been counted
+        low, high = values.agg(F.min("value"), F.max("value")).first()
+        _, below, width = holds(low, high)
+    margin = 4.0 / ACCURACY
     while True:
-        below = values.filter(F.col("value") < low).count()
         inside = values.filter(F.col("value").between(low, high))
-        counts = inside.groupBy("value").count().limit(INLINE_VALUES + 1)
-        if counts.count() <= INLINE_VALUES:
+        counts = inside.groupBy("value").count().limit(INLINE_VALUES + 1).collect()
+        if len(counts) <= INLINE_VALUES:
             break
-        width = inside.count()
-        spot = [max(0.0, (lower_rank - below) / width - 1e-3), min(1.0, (upper_rank - below) / width + 1e-3)]
-        low, high = inside.agg(F.percentile_approx("value", spot, ACCURACY).alias("q")).first()["q"]
+        spot = [max(0.0, (lower_rank - below) / width - margin), min(1.0, (upper_rank - below) / width + margin)]
+        a, b = inside.agg(F.percentile_approx("value", spot, ACCURACY).alias("q")).first()["q"]
+        found, new_below, new_width = holds(a, b)
+        if found:
+            low, high, below, width = a, b, new_below, new_width
+        else:
+            margin *= 2
     picked, seen = {}, below
-    for row in sorted(counts.collect(), key=lambda r: r["value"]):
+    for row in sorted(counts, key=lambda r: r["value"]):
         for rank in (lower_rank, upper_rank):
             if seen <= rank < seen + row["count"]:
                 picked[rank] = row["value"]
