@@ -10,6 +10,7 @@ from gradpath.operators import graph as gr
 from gradpath.operators import paths, search
 from gradpath.operators.graph import SkillGraph
 from gradpath.plans.answers import career_skills
+from gradpath.session import cut_lineage
 from gradpath.sources.views import load, with_views
 
 
@@ -68,7 +69,7 @@ def recommend_topk(spark, d):
 def recommend_gap(spark, d):
     """Everyone's recommended role and what they still lack for it."""
     graph, skills = catalogue_graph(spark, d), load(spark, d, "skills")
-    best = gr.recommend(graph, skills)
+    best = cut_lineage(gr.recommend(graph, skills))
     found = gr.gaps(graph, best.select("id", F.col("recommended").alias("job")), skills)
     return best.join(found, "id").select(
         "id", "recommended", "votes", F.array_join("missing", ", ").alias("missing"), F.size("missing").cast("bigint").alias("missing_count")

@@ -129,13 +129,13 @@ _SCENARIO_COLUMNS = """id, scenario_id, title, description, change_summary, orig
 
 @query("whatif_scenarios", with_views(f"select {_SCENARIO_COLUMNS} from scenarios", *_SCENARIOS))
 def whatif_scenarios(spark, d):
-    return wi.scenario_rows(_whatif(spark, d)).drop("rank")
+    return wi.scenario_rows(_whatif(spark, d)).drop("rank", "combined_risk")
 
 
 @query("whatif_hostel", with_views(f"select {_SCENARIO_COLUMNS} from scenarios", *fr.scenarios(HOSTEL_CARD)))
 def whatif_hostel(spark, d):
     """Scenarios under a score card where a hostel place helps."""
-    return wi.scenario_rows(_whatif(spark, d, HOSTEL_CARD)).drop("rank")
+    return wi.scenario_rows(_whatif(spark, d, HOSTEL_CARD)).drop("rank", "combined_risk")
 
 
 @query("whatif_ranked", with_views("select id, rank, scenario_id, title, risk_delta from scenarios", *_SCENARIOS))
@@ -250,7 +250,7 @@ def explain_batch(spark, d):
     ready = engine(spark, d)
     attribution = at.LinearAttribution.fit(ExpressionScorer(), ready.encode(profiles))
     done = answers.explain(ready, profiles, attribution)
-    return done.select("id", F.posexplode("factors").alias("place", "f"), "base_value", "prediction_value").select(
+    return done.select("id", F.posexplode_outer("factors").alias("place", "f"), "base_value", "prediction_value").select(
         "id", (F.col("place") + 1).alias("rank"), "f.*", "base_value", "prediction_value"
     )
 
@@ -265,9 +265,7 @@ def whatif_batch(spark, d):
     """All scenarios of every profile, the career suggestion among them."""
     ready = engine(spark, d, catalogue_graph(spark, d))
     done = answers.whatif(ready, load(spark, d, "profiles"), load(spark, d, "skills"), load(spark, d, "desired"))
-    return done.select("id", F.posexplode("scenarios").alias("place", "s"), "combined_risk").select(
-        "id", (F.col("place") + 1).alias("rank"), "s.*", "combined_risk"
-    )
+    return wi.scenario_rows(done)
 
 
 @query("options", with_views(

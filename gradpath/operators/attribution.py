@@ -90,12 +90,12 @@ def prediction_value() -> Column:
 
 def impact_rows(df: DataFrame) -> DataFrame:
     """(id, pos, feature, value, shap, impact), one row per feature."""
-    return df.select("id", F.inline("impacts"))
+    return df.select("id", F.inline_outer("impacts"))
 
 
 def factor_rows(df: DataFrame, k: int | None = TOP) -> DataFrame:
     """(id, rank, pos, feature, value, shap, impact) for the strongest factors."""
-    return df.select("id", F.posexplode(ranked_impacts(k=k)).alias("place", "s")).select("id", (F.col("place") + 1).alias("rank"), "s.*")
+    return df.select("id", F.posexplode_outer(ranked_impacts(k=k)).alias("place", "s")).select("id", (F.col("place") + 1).alias("rank"), "s.*")
 
 
 def factor_shares(df: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def factor_shares(df: DataFrame) -> DataFrame:
         "impacts",
         lambda s: F.struct(s["feature"].alias("feature"), F.when(F.col("top") > 0, F.round(F.abs(s["impact"]) / F.col("top") * 100, 6)).alias("share")),
     )
-    return df.select("id", "impacts", top.alias("top")).select("id", F.inline(share))
+    return df.select("id", "impacts", top.alias("top")).select("id", F.inline_outer(share))
 
 
 def signed_text(df: DataFrame, digits: int = 3) -> DataFrame:

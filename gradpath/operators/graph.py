@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gradpath.functions.sizing import BROADCAST_BYTES, measured_bytes, shuffle_tasks
+from gradpath.functions.sizing import BROADCAST_BYTES, broadcast_if_small, measured_bytes, shuffle_tasks
 from gradpath.functions.text import blank_to_null, strip
+from gradpath.session import cut_lineage
 
 
 def skill_tokens(catalogue: DataFrame, null_mode: str = "reference") -> DataFrame:
@@ -60,19 +61,24 @@ def first_seen(df: DataFrame, a: str, b: str) -> DataFrame:
 
 @dataclass
 class SkillGraph:
-    """Edges of the graph and its symmetric adjacency ``adj(src, dst, ord)``."""
+    """Edges of the graph and its symmetric adjacency ``adj(src, dst, ord)``.
+
+    A measured graph also has ``numbers(name, nr)`` and its adjacency ``src_nr, dst_nr``;
+    the numbers sort like the names and are cheaper to shuffle and to group by.
+    """
 
     edges: DataFrame
     adj: DataFrame
     adj_small: DataFrame  # adj, with a broadcast hint if it was measured to be small
     is_small: bool = False
+    numbers: DataFrame | None = None
 
     @classmethod
     def from_edges(cls, edges: DataFrame, measure: bool = True) -> "SkillGraph":
         """Roles and skills share one name space, so a name that is both is one node.
 
-        With ``measure`` the adjacency is cached and its size taken once, which decides
-        on broadcasting for every later join.
+        With ``measure`` the nodes are numbered, the adjacency is cached and its size taken
+        once, which decides on broadcasting for every later join.
         """
         order = edge_order().alias("ord")
         both = edges.select(F.col("job").alias("src"), F.col("skill").alias("dst"), order).unionByName(
@@ -81,9 +87,14 @@ class SkillGraph:
         adj = both.groupBy("src", "dst").agg(F.min("ord").alias("ord"))
         if not measure:
             return cls(edges, adj, adj)
+        names = adj.select(F.col("src").alias("name")).distinct().orderBy("name")
+        numbers = cut_lineage(names.withColumn("nr", F.monotonically_increasing_id()))
+        hint = broadcast_if_small(numbers)
+        for end in ("src", "dst"):
+            adj = adj.join(hint.select(F.col("name").alias(end), F.col("nr").alias(f"{end}_nr")), end)
         adj = adj.persist()
         small = measured_bytes(adj) <= BROADCAST_BYTES
-        return cls(edges, adj, F.broadcast(adj) if small else adj, small)
+        return cls(edges, adj, F.broadcast(adj) if small else adj, small, numbers)
 
     @classmethod
     def from_catalogue(cls, catalogue: DataFrame, null_mode: str = "reference", measure: bool = True) -> "SkillGraph":
@@ -130,28 +141,57 @@ class SkillGraph:
         return wanted.join(self.adj_small, "src").select(F.col("src").alias("name"), F.col("dst").alias("neighbour"))
 
 
-def votes(graph: SkillGraph, skills: DataFrame) -> DataFrame:
-    """(id, job, votes, pos, ord): neighbours of a person's skills with their vote count.
+def listed_skills(graph: SkillGraph, skills: DataFrame) -> DataFrame:
+    """(id, skill, times, pos): a person's skills, repeats counted, ``pos`` the first place.
 
-    A skill listed twice votes twice. ``pos`` and ``ord`` tell where the candidate was first
-    met: the skill's place in the list, then the edge's place in the catalogue. Repeats are
-    counted before the join, so a popular skill is expanded once per person. Where the graph
-    is broadcast, a person is left with no more rows than the graph has nodes; those are
-    brought together by person before they are expanded, and the counting after it needs
-    no further shuffle.
+    Where the graph is broadcast, only skills in it are kept, so a person has no more rows
+    than the graph has nodes; these are brought together by person before they are expanded,
+    and all counting after that needs no further shuffle.
     """
     own = skills.filter(F.col("skill").isNotNull())
     if graph.is_small:
         known = F.broadcast(graph.adj.select(F.col("src").alias("skill")).distinct())
         own = own.join(known, "skill", "left_semi")
     own = own.groupBy("id", "skill").agg(F.count("*").alias("times"), F.min("pos").alias("pos"))
-    if graph.is_small:
-        own = own.repartition(shuffle_tasks(own), "id")
+    return own.repartition(shuffle_tasks(own), "id") if graph.is_small else own
+
+
+def votes(graph: SkillGraph, own: DataFrame) -> DataFrame:
+    """(id, key, votes): neighbours of a person's skills; a skill listed twice votes twice.
+
+    ``key`` is the neighbour's number, in a graph that was not measured its name.
+    """
     return (
         own.join(graph.adj_small, own["skill"] == F.col("src"))
-        .groupBy("id", F.col("dst").alias("job"))
-        .agg(F.sum("times").alias("votes"), F.min_by("ord", "pos").alias("ord"), F.min("pos").alias("pos"))
+        .groupBy("id", F.col(_key(graph)).alias("key"))
+        .agg(F.sum("times").alias("votes"))
+    )
+
+
+def _key(graph: SkillGraph) -> str:
+    return "dst" if graph.numbers is None else "dst_nr"
+
+
+def recommend_topk(graph: SkillGraph, skills: DataFrame, k: int) -> DataFrame:
+    """(id, rank, job, votes): the k roles with most votes, the first met before others on a tie.
+
+    First met means: by the skill's place in the person's list, then by the edge's place in
+    the catalogue. That is looked up only for the roles whose votes reach the k-th place,
+    all ties included.
+    """
+    own = listed_skills(graph, skills)
+    by_votes = W.partitionBy("id").orderBy(F.desc("votes"))
+    reach = votes(graph, own).withColumn("_r", F.rank().over(by_votes)).filter(F.col("_r") <= k).drop("_r")
+    asked = graph.adj.select(F.col("src").alias("skill"), F.col(_key(graph)).alias("key"), F.col("dst").alias("job"), "ord")
+    met = (
+        reach.join(own.select("id", "skill", "pos"), "id")
+        .join(F.broadcast(asked) if graph.is_small else asked, ["skill", "key"])
+        .groupBy("id", "key", "job", "votes")
+        .agg(F.min_by("ord", "pos").alias("ord"), F.min("pos").alias("pos"))
     )
+    order = W.partitionBy("id").orderBy(F.desc("votes"), "pos", "ord", "job")
+    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("id", "rank", "job", "votes")
 
 
 def recommend(graph: SkillGraph, skills: DataFrame) -> DataFrame:
@@ -159,19 +199,7 @@ def recommend(graph: SkillGraph, skills: DataFrame) -> DataFrame:
 
     Persons none of whose skills are in the graph are absent.
     """
-    best = votes(graph, skills).groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("neg"), "pos", "ord", "job")).alias("b"))
-    return best.select("id", F.col("b.job").alias("recommended"), (-F.col("b.neg")).alias("votes"))
-
-
-def recommend_topk(graph: SkillGraph, skills: DataFrame, k: int) -> DataFrame:
-    """(id, rank, job, votes), the k best roles in the order of ``recommend``."""
-    order = W.partitionBy("id").orderBy(F.desc("votes"), "pos", "ord", "job")
-    return (
-        votes(graph, skills)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("id", "rank", "job", "votes")
-    )
+    return recommend_topk(graph, skills, 1).select("id", F.col("job").alias("recommended"), "votes")
 
 
 def gap_rows(graph: SkillGraph, targets: DataFrame, skills: DataFrame) -> DataFrame:

@@ -136,8 +136,13 @@ def whatif(df: DataFrame, scorer: Scorer, cs_code: int | None, career_skills: st
 
 
 def scenario_rows(df: DataFrame) -> DataFrame:
-    """(id, rank, scenario fields), one row per scenario."""
-    return df.select("id", F.posexplode("scenarios").alias("place", "s")).select("id", (F.col("place") + 1).alias("rank"), "s.*")
+    """(id, rank, scenario fields, combined_risk), one row per scenario.
+
+    The outer form of the generator is used throughout for arrays made in the row: for the
+    plain one the optimizer adds a size filter below, which works the array out twice.
+    """
+    rows = df.select("id", F.posexplode_outer("scenarios").alias("place", "s"), "combined_risk").filter(F.col("place").isNotNull())
+    return rows.select("id", (F.col("place") + 1).alias("rank"), "s.*", "combined_risk")
 
 
 def scenario_display(df: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def sweep(df: DataFrame, scorer: Scorer, grid: dict[str, Iterable[float]]) -> Da
 
 
 def sweep_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", F.inline("sweep"))
+    return df.select("id", F.inline_outer("sweep"))
 
 
 def sweep_plateaus(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -204,14 +209,14 @@ def sweep_plateaus(df: DataFrame, digits: int = 2) -> DataFrame:
             ).alias("plateau"),
         ),
     )
-    return df.select("id", shown.alias("_shown")).select("id", F.inline(marked))
+    return df.select("id", shown.alias("_shown")).select("id", F.inline_outer(marked))
 
 
 def sweep_delta(df: DataFrame) -> DataFrame:
     """(id, field, value, delta, sense): change to the unchanged profile in one decimal."""
     delta = half_up(F.col("percent") - F.col("base_percent"), 1) + F.lit(0.0)
     return (
-        df.select("id", "base_percent", F.inline("sweep"))
+        df.select("id", "base_percent", F.inline_outer("sweep"))
         .select("id", "field", "value", delta.alias("delta"))
         .withColumn("sense", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("same"))
     )

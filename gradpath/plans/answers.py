@@ -46,7 +46,8 @@ def predict(engine: Engine, profiles: DataFrame, skills: DataFrame, desired: Dat
     Roles are looked up only for people who list skills.
     """
     scored = with_bands(score(engine.encode(profiles), engine.scorer))
-    best = gr.recommend(engine.graph, skills)
+    # several steps start from it, so it is worked out once
+    best = cut_lineage(gr.recommend(engine.graph, skills))
     lacking = gr.gaps(engine.graph, best.select("id", F.col("recommended").alias("job")), skills)
     roles = lacking.select("id", F.col("job").alias("recommended_job"), F.col("missing").alias("missing_skills"))
     target = gr.target_roles(skills.select("id").distinct(), desired, best)
