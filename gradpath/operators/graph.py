@@ -247,12 +247,11 @@ def gap_map_nodes(graph: SkillGraph, targets: DataFrame, skills: DataFrame) -> D
 
     Status is centre, owned or missing. Unknown centres give no rows.
     """
-    around = (
-        targets.filter(F.col("job").isNotNull())
-        .join(graph.adj_small, F.col("job") == F.col("src"))
-        .select("id", F.col("job").alias("centre"), F.inline(F.array_distinct(F.array(F.struct(F.col("src").alias("node")), F.struct(F.col("dst").alias("node"))))))
-        .distinct()
-    )
+    wanted = targets.select("id", F.col("job").alias("centre")).filter(F.col("centre").isNotNull()).distinct()
+    spokes = wanted.join(graph.adj_small, F.col("centre") == F.col("src")).select("id", "centre", F.col("dst").alias("node"))
+    known = graph.adj.select(F.col("src").alias("centre")).distinct()
+    middle = wanted.join(F.broadcast(known) if graph.is_small else known, "centre", "left_semi")
+    around = spokes.filter(F.col("node") != F.col("centre")).unionByName(middle.select("id", "centre", F.col("centre").alias("node")))
     own = skills.select("id", F.col("skill").alias("node"), F.lit(True).alias("own")).distinct()
     return around.join(own, ["id", "node"], "left").select(
         "id", "centre", "node",

@@ -134,11 +134,13 @@ def chat_history(messages: DataFrame, runs: int = HISTORY_RUNS) -> DataFrame:
     conversation is neither gathered as a whole nor held by one task.
     """
     numbered = with_runs(messages)
-    bundles = numbered.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    # the last run of a conversation is nobody's context and is not gathered
+    last = numbered.groupBy("conv_id").agg(F.max("run").alias("_last"))
+    earlier = numbered.join(last, "conv_id").filter(F.col("run") < F.col("_last"))
+    bundles = earlier.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     # context is the same for all messages of a run, so it is put together once per run
     reach = bundles.select("conv_id", F.explode(F.sequence(F.col("run") + 1, F.col("run") + runs)).alias("run"), "said")
-    per_run = bundles.select("conv_id", "run").join(reach, ["conv_id", "run"])
-    context = per_run.groupBy("conv_id", "run").agg(F.array_sort(F.flatten(F.collect_list("said"))).alias("history"))
+    context = reach.groupBy("conv_id", "run").agg(F.array_sort(F.flatten(F.collect_list("said"))).alias("history"))
     return numbered.select("conv_id", "turn", "run").join(context, ["conv_id", "run"], "left").select(
         "conv_id", "turn", "run", F.coalesce("history", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")).alias("history")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gradpath.functions.sizing import broadcast_if_small
 from gradpath.functions.text import strip
 
 PAGE = 50  # Fixed value: length of the suggestion list.
@@ -53,4 +54,4 @@ def canonical_skills(typed: DataFrame, chosen: DataFrame, catalogue: DataFrame)
     spelling = catalogue.groupBy(F.lower("skill").alias("low")).agg(F.min("skill").alias("skill"))
     entries = typed.select("entry_id", "id", strip(F.col("typed")).alias("plain")).filter(F.col("plain") != "")
     fresh = entries.join(chosen.select("id", F.col("skill").alias("plain")).distinct(), ["id", "plain"], "left_anti")
-    return fresh.join(spelling, F.lower("plain") == F.col("low")).select("entry_id", "id", "skill")
+    return fresh.join(broadcast_if_small(spelling), F.lower("plain") == F.col("low")).select("entry_id", "id", "skill")

@@ -61,6 +61,15 @@ def test_balanced_classes_and_rows_between_parents(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, done.collect()))
 
 
+def test_shared_vectors_are_cut_before_the_shuffle(spark):
+    from pyspark.sql import Window as W
+
+    df = spark.createDataFrame(random_rows(30, 1, True), ROW)
+    few = df.withColumn("_n", F.row_number().over(W.partitionBy(*FEATURES).orderBy("id"))).filter(F.col("_n") <= 6)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # once before and once after the exchange
+
+
 def test_class_of_one_cannot_be_balanced(spark):
     rows = [r[:-1] + (1 if r[0] == 0 else 0,) for r in random_rows(10, 5)]
     with pytest.raises(ValueError):
