@@ -87,6 +87,7 @@ class SkillGraph:
         adj = both.groupBy("src", "dst").agg(F.min("ord").alias("ord"))
         if not measure:
             return cls(edges, adj, adj)
+        adj = cut_lineage(adj)  # read several times below
         names = adj.select(F.col("src").alias("name")).distinct().orderBy("name")
         numbers = cut_lineage(names.withColumn("nr", F.monotonically_increasing_id()))
         hint = broadcast_if_small(numbers)
