@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradpath.functions.sizing import broadcast_if_small
@@ -31,7 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         total, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             before = total[at - 1] if at else 0

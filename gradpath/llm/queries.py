@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradpath.llm import chat, exact, mixing
-from gradpath.llm.frames import table
+from gradpath.llm import chat, exact, langid, lm, mixing, toxicity
+from gradpath.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs, test = table(spark, d, "documents", "doc_id", "text"), held_out(F.col("doc_id"), 3)
+    model = toxicity.train(docs, table(spark, d, "labels", "doc_id", "toxic").filter(~test))
+    scored = docs.select("doc_id", test.alias("held_out"), toxicity.score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op4_lm_scores")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    """Log10 probability of every document, learnt from those outside the held-out fold."""
+    docs, test = table(spark, d, "documents", "doc_id", "text"), held_out(F.col("doc_id"), 5)
+    got = lm.scores(docs, ~test)
+    return got.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query("op5_pivotal_mixing")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     """Words taken of every document so that sources come near their targets."""
@@ -45,6 +62,15 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.equal_null("id", "keep_id").alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
+@query("op8_language")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document, learnt from those outside the held-out fold."""
+    docs, test = table(spark, d, "documents", "doc_id", "lang", "text"), held_out(F.col("doc_id"), 3)
+    model = langid.train(docs.filter(~test))
+    found = docs.select("doc_id", test.alias("held_out"), langid.predict(spark, model, F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 @query(
     "op10_chat_format",
     """
