@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradpath.llm import chat, exact, langid, lm, mixing, toxicity
+from gradpath.llm import chat, exact, langid, lm, mixing, neardup, repeats, toxicity
 from gradpath.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,33 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op3_near_dedup",
+    f"""
+    with recursive w as materialized (select doc_id, {WORDS.format(text=LOWER)} as w from documents),
+    d as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+    classes as materialized (select list_sort(s) as s, min(doc_id) as rep from d where len(s) > 0 group by list_sort(s)),
+    x as materialized (select rep, len(s) as n, hash(unnest(s)) as h from classes),
+    links as materialized (select a.rep as a, b.rep as b from x a join x b on a.h = b.h and a.rep < b.rep
+        group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    both_ways as materialized (select a, b from links union all select b, a from links),
+    reach as (select distinct a, a as b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+    smallest as (select a, min(b) as b from reach group by a)
+    select d.doc_id, len(d.s) as n_shingles, coalesce(m.b, c.rep, d.doc_id) as component_id, d.doc_id = coalesce(m.b, c.rep, d.doc_id) as kept
+    from d left join classes c on list_sort(d.s) = c.s left join smallest m on m.a = c.rep
+    """,
+)
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """The component of near duplicates of every document, on shingles of four words."""
+    got = neardup.near_duplicates(table(spark, d, "documents", "doc_id", "text"), k=4, percent=80)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_lm_scores")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     """Log10 probability of every document, learnt from those outside the held-out fold."""
@@ -71,6 +98,26 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+@query(
+    "op9_substring_dedup",
+    f"""
+    with w as materialized (select doc_id, {WORDS.format(text="coalesce(text, '')")} as w from documents),
+    win as materialized (select doc_id, i, array_to_string(w[i:i + 12], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w)),
+    firsts as (select t, min(doc_id) as first from win group by t),
+    starts as (select doc_id, i from win join firsts using (t) where doc_id > first),
+    gone as (select distinct doc_id, i + k as i from starts, range(13) r(k)),
+    word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w),
+    kept as (select word.doc_id, string_agg(x, ' ' order by i) as text, count(*) as n from word anti join gone using (doc_id, i) group by 1)
+    select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+    from w left join kept using (doc_id)
+    """,
+)
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every document when passages that an earlier one has are removed."""
+    got = repeats.strip_repeats(table(spark, d, "documents", "doc_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query(
     "op10_chat_format",
     """
