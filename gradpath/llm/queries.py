@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradpath.llm import chat, exact, langid, lm, mixing, neardup, repeats, toxicity
+from gradpath.llm import chat, exact, langid, licenses, lm, mixing, neardup, repeats, tiling, toxicity
 from gradpath.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_license_scan")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    """The licenses that documents name."""
+    return licenses.scan(table(spark, d, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
@@ -74,6 +80,12 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold items of the benchmark, with the items."""
+    return tiling.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query(
     "op7_exact_dedup",
     """
