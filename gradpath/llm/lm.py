@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.llm.frames import pieces
-from gradpath.llm.words import Words, signed, split
+from gradpath.llm.words import Words, distinct, signed, split
 from gradpath.session import cut_lineage
 
 DEPTH = 6
@@ -40,6 +40,10 @@ START, BLANK, END = 27, 32, 10
 FREQUENT = 65_536
 #: (context, byte) pairs that are broadcast at once: 12 bytes each.
 BLOCK = 5_000_000
+#: Pairs that a counting task holds before it hands them on.
+HELD = 4_000_000
+#: Coded bytes that are looked up at once; their places take 22 bits beside the 38 of a pair.
+PLACES = 1 << 22
 
 _B = np.arange(256)
 CLASS = np.select([(_B >= 97) & (_B <= 122), _B == BLANK, _B == END, _B < 128, _B < 0xA0, _B < 0xC0], [_B - 97, 26, START, 28, 29, 30], 31).astype(np.int64)
@@ -145,18 +149,21 @@ def count_codes(docs: DataFrame, text: str, learn: str, depth: int = DEPTH) -> D
         held: list[tuple] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+            key = np.concatenate([k for k, _ in held])
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], np.concatenate([n for _, n in held])[order]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            return key[start], np.add.reduceat(n, start)
 
-        for piece in pieces(batches, text, 2 << 20):
+        for piece in pieces(batches, text):
             code, doc = codes(split(piece.column(text), "space", lower=True), depth)
             learnt = np.asarray(piece.column(learn).fill_null(False).cast(pa.int8())).astype(bool)[doc]
             for part, weight in ((code[learnt], 1), (code[~learnt], 0)):
-                key, n = np.unique(part, return_counts=True)
+                key, n = distinct(part)
                 held.append((key, n * weight))
-            if sum(len(k) for k, _ in held) > 2_000_000:
+            if sum(len(k) for k, _ in held) > HELD:
                 held = [merged()]
-                if len(held[0][0]) > 1_000_000:
+                if len(held[0][0]) > HELD // 2:
                     yield from emit(*held.pop())
         if held:
             yield from emit(*merged())
@@ -204,26 +211,38 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, 16 << 20):
-            key, n = np.unique(split(piece.column(text), "space", lower=True).hashes(), return_counts=True)
+            key, n = distinct(split(piece.column(text), "space", lower=True).hashes())
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], ["h", "n"])
 
     return docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _code_sums(code: np.ndarray, doc: np.ndarray, n: int, model_code: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Sum of the chances of each text's codes; sorted codes are looked up once each."""
+    total = np.zeros(n)
+    for i in range(0, len(code) if len(model_code) else 0, PLACES):
+        part = code[i : i + PLACES]
+        packed = np.sort(part << 22 | np.arange(len(part)))
+        key, place = packed >> 22, packed & (PLACES - 1)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        own = key[start]
+        at = np.minimum(np.searchsorted(model_code, own), len(model_code) - 1)
+        value = np.where(model_code[at] == own, chance[at], 0.0)
+        total += np.bincount(doc[i + place], np.repeat(value, np.diff(np.append(start, len(key)))), n)
+    return total
+
+
 def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndarray], frequent: tuple[np.ndarray, np.ndarray] | None, depth: int) -> DataFrame:
-    """(row, h, n, known, base, score): a row with the sums of a text, and one for each word of
-    it that isn't frequent. Without ``frequent`` only score is worked out."""
+    """(row, whole, h, n, known, base, score): a row with the sums of a text (whole; h is the row
+    itself), and one for each word of it that isn't frequent. Without ``frequent`` only score
+    is worked out."""
     shared = docs.sparkSession.sparkContext.broadcast((model, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model_code, chance), often = shared.value
-        for piece in pieces(batches, text, 2 << 20):
+        for piece in pieces(batches, text):
             w, n = split(piece.column(text), "space", lower=True), piece.num_rows
-            code, doc = codes(w, depth)
-            own = np.unique(code)  # then a search in a short sorted array, not in the model
-            place = np.minimum(np.searchsorted(model_code, own), max(len(model_code) - 1, 0))
-            value = np.where(model_code[place] == own, chance[place], 0.0) if len(model_code) else np.zeros(len(own))
-            score = np.bincount(doc, value[np.searchsorted(own, code)], n)
+            score = _code_sums(*codes(w, depth), n, model_code, chance)
             rows = np.asarray(piece.column(key))
             known, base, extra = np.zeros(n, np.int64), np.zeros(n), (np.zeros(0, np.int64),) * 3
             if often is not None:
@@ -237,11 +256,11 @@ def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndar
                 extra = (rows[rare // max(len(h), 1)], h[rare % max(len(h), 1)] if len(h) else rare, times)
             none = np.zeros(len(extra[0]))
             words = w.counts if often is not None else np.zeros(n, np.int64)
-            h_col = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(extra[1], pa.int64())])
-            cols = [pa.array(np.concatenate((rows, extra[0]))), h_col, pa.array(np.concatenate((words, extra[2]))), pa.array(np.concatenate((known, np.zeros(len(none), np.int64)))), pa.array(np.concatenate((base, none))), pa.array(np.concatenate((score, none)))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "h", "n", "known", "base", "score"])
+            whole = np.concatenate((np.ones(n, bool), np.zeros(len(none), bool)))
+            cols = [pa.array(np.concatenate((rows, extra[0]))), pa.array(whole), pa.array(np.concatenate((rows, extra[1]))), pa.array(np.concatenate((words, extra[2]))), pa.array(np.concatenate((known, np.zeros(len(none), np.int64)))), pa.array(np.concatenate((base, none))), pa.array(np.concatenate((score, none)))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "whole", "h", "n", "known", "base", "score"])
 
-    return docs.select(key, text).mapInArrow(run, "row bigint, h bigint, n bigint, known bigint, base double, score double")
+    return docs.select(key, text).mapInArrow(run, "row bigint, whole boolean, h bigint, n bigint, known bigint, base double, score double")
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
@@ -263,15 +282,16 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         got = model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == i).select("code", F.col("chance").cast("float")).toArrow().sort_by("code")
         part = _sums(rows, "row", "text", (np.asarray(got["code"]), np.asarray(got["chance"])), often if i == 0 else None, depth)
         parts = part if parts is None else parts.unionByName(part)
-    parts = parts.withColumn("whole", F.col("h").isNull())
-    own = parts.filter("whole").select("row", "n", "known", "base", "score")
-    rare = parts.filter("not whole").select("row", "h", F.col("n").alias("times"))
-    met = rare.join(words.withColumnRenamed("n", "c"), "h", "left").select(
-        "row", F.lit(0).cast("bigint").alias("n"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (n_all + 0.5 * (kinds + 1)))).alias("base"), F.lit(0.0).alias("score"),
-    )
+    # one pass: a text's own row goes along with its words and meets no count that is used
+    met = parts.join(words.withColumnRenamed("n", "c"), "h", "left")
+    count = F.coalesce("c", F.lit(0))
+    word = lambda own, other: F.when(F.col("whole"), F.col(own)).otherwise(other).alias(own)
+    met = met.select(
+        "row", F.when(F.col("whole"), F.col("n")).otherwise(0).alias("own"), F.when(F.col("whole"), 0).otherwise(F.when(count > 0, F.col("n")).otherwise(0)).alias("rare"),
+        "known", word("base", F.col("n") * F.log10((count + 0.5) / (n_all + 0.5 * (kinds + 1)))), "score",
+    ).select("row", F.col("own").alias("n"), (F.col("known") + F.col("rare")).alias("known"), "base", "score")
     times = rows.groupBy("row").agg(F.count("*").alias("rows"))
-    summed = own.unionByName(met).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")]).join(times, "row")
+    summed = met.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")]).join(times, "row")
     size = F.octet_length(F.coalesce("text", F.lit("")))
     return rows.select("id", "row", size.cast("bigint").alias("n_bytes")).join(summed, "row").select(
         "id",

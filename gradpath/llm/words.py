@@ -131,6 +131,13 @@ def pack(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, how often each occurs), by sorting."""
+    x = np.sort(x)
+    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[start], np.diff(np.append(start, len(x)))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed numbers that Spark has."""
     return x.view(np.int64)
