@@ -26,7 +26,7 @@ from gradpath.llm.words import split, windows
 from gradpath.session import cut_lineage
 
 SEED_WORDS = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Words of the benchmark that are broadcast at once.
 BLOCK_WORDS = 1_000_000
 
