@@ -9,8 +9,9 @@ members are first compared with one of them, which links most of what belongs to
 Buckets whose members are then in one component are done. In the others, shingles that no
 other member has bound what a member can share, so members that can't reach the similarity
 with anything drop out; the rest are compared with the least peculiar member, and at last
-every pair from two components that the bounds allow. No link is lost and no group is
-paired with itself as a whole. Links are confirmed on the full sets of 64-bit hashes.
+with all members of other components that share one of their rarest shingles, without
+which two sets can't be similar enough. No link is lost and no group is paired with itself
+as a whole. Links are confirmed on the full sets of 64-bit hashes.
 
 A document with fewer words than a shingle has is one shingle; without words it has none
 and is linked with nothing. Rows without an id take part as copies of others only.
@@ -18,9 +19,11 @@ and is linked with nothing. Rows without an id take part as copies of others onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradpath.functions.sizing import broadcast_if_small
 from gradpath.llm.components import components
@@ -30,7 +33,7 @@ from gradpath.session import cut_lineage
 
 BANDS, ROWS = 25, 4
 PERMUTATIONS = BANDS * ROWS // 2
-STARS = 3
+STARS = 1
 _DRAW = np.random.default_rng(20240607)
 _A = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -115,6 +118,32 @@ def _undecided(placed: DataFrame) -> DataFrame:
     return placed.join(mixed, "key", "left_semi")
 
 
+def _by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, reach: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of two components that can be similar enough.
+
+    Two sets that share t shingles have one in common among the rarest n - t + 1 of either.
+    The member of the smaller component is looked up by its rarest; what is peculiar to it is
+    rare, so a large component isn't met as a whole.
+    """
+    kinds = rest.select("rep", "n", "most", "component").distinct()
+    sizes = kinds.groupBy("component").agg(F.count("*").alias("members"))
+    kinds = cut_lineage(kinds.join(sizes, "component").withColumn("turn", F.struct("members", F.col("most") / F.col("n"), "rep")))
+    largest = kinds.agg(F.max("members").alias("m")).first()["m"]
+    here = broadcast_if_small(kinds, SMALL)
+    spread = cut_lineage(sets.withColumnRenamed("id", "rep").join(here, "rep").select(*kinds.columns, F.explode("s").alias("x")))
+    known = spread.groupBy("x").agg(F.count("*").alias("df"))
+    # members of the one largest component are only looked for, never looked up by
+    alone = kinds.filter(F.col("members") == largest).select("component").distinct().limit(2).count() == 1
+    ranked = (spread.filter(F.col("members") < largest) if alone else spread).join(known, "x")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "x"))
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = ranked.withColumn("place", place).filter((F.col("place") <= head) & (F.col("df") > 1))
+    shared = F.ceil((F.col("l.n") + F.col("r.n")) * percent / (100 + percent))
+    apart = (F.col("l.x") == F.col("r.x")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.turn") < F.col("r.turn"))
+    apart = apart & (F.col("l.place") <= F.col("l.n") - shared + 1) & reach("l", "r")
+    return rare.alias("l").join(spread.alias("r"), apart).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, stars: int = STARS) -> DataFrame:
     """(node, component) of the classes (rep, n, bands) that are linked with another."""
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -135,7 +164,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, star
     reach = lambda a, b: _enough(F.least(F.col(f"{a}.most"), F.col(f"{b}.most")), F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
     for _ in range(stars):
         if rest.isEmpty():
-            return found
+            break
         centre = rest.groupBy("key").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("own"), (-F.col("rep")).alias("least"), "rep", "n", "most", "component")).alias("c"))
         rays = rest.alias("m").join(centre, "key").filter((F.col("m.component") != F.col("c.component")) & reach("m", "c"))
         more = cut_lineage(confirmed(rays.select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b")), sets, percent))
@@ -144,9 +173,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, star
         links = links.unionByName(more)
         found, placed = _in_components(rest.drop("component"), links)
         rest = cut_lineage(_undecided(placed))
-    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component")) & reach("l", "r")
-    pairs = rest.alias("l").join(rest.alias("r"), apart).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-    more = cut_lineage(confirmed(pairs, sets, percent))
+    if rest.isEmpty():
+        return found
+    more = cut_lineage(confirmed(_by_rare_shingles(rest, sets, percent, reach), sets, percent))
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -163,11 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest id."""
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id;
+    rows without an id stay."""
     found = cut_lineage(near_duplicates(docs, id_col, text_col, k, percent))
-    kept = without(docs, found.filter("not kept").select(F.col("id").alias(id_col)), id_col)
-    repeated = found.filter("kept and n_shingles > 0").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias(id_col))
+    kept = without(docs, found.filter("not kept").select("id"), docs[id_col])
+    repeated = found.filter("kept and n_shingles > 0 and id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return without(kept, repeated, id_col).unionByName(again.dropDuplicates([id_col, text_col]))
+    again = kept.join(repeated.toDF("_id"), F.col(id_col) == F.col("_id"), "left_semi")
+    return without(kept, repeated, kept[id_col]).unionByName(again.dropDuplicates([id_col, text_col]))
