@@ -53,7 +53,7 @@ def map_text(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def without(df: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose key (null included) isn't among ``dropped``."""
-    gone = broadcast_if_small(dropped.select(F.col(key).alias("_gone")).distinct(), SMALL)
-    return df.join(gone, df[key].eqNullSafe(F.col("_gone")), "left_anti")
+def without(df: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't in the one column of ``dropped``; null keys stay."""
+    gone = broadcast_if_small(dropped.toDF("_gone").distinct(), SMALL)
+    return df.join(gone, key == F.col("_gone"), "left_anti")

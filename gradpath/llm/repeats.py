@@ -138,7 +138,9 @@ def levels(docs: DataFrame, window: int = WINDOW, until: int | None = None) -> t
     first = marks.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("id").alias("lo"), F.count("*").alias("c")).filter("c > 1")
     copies = cut_lineage(marks.join(first, ["f1", "f2", "n_words"]).filter("id > lo").select("id", "n_words"))
     single = rows.join(broadcast_if_small(copies.select("id"), SMALL), "id", "left_anti")
-    part = window // 2 + 1
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    part = (window + 1) // 2
     found, out, length = cut_lineage(repeated(anchors(single, window, part), False)), {}, part
     while until is None or length < until:
         length = min(2 * length, window) if length < window else 2 * length

@@ -91,6 +91,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             item_ids, seed, of, place, size = shared.value
+            if not len(seed):
+                return None
             w = split(batch.column("text"), "plain", lower=True)
             g, whole = windows(w.hashes(), w.first, least)
             lo = np.minimum(np.searchsorted(seed, g), len(seed) - 1)
@@ -131,5 +133,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold an item of the benchmark."""
-    found = cut_lineage(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias(id_col)))
-    return without(docs, found, id_col)
+    row = F.xxhash64(docs[id_col], docs[text_col])  # stands for the row where ids are missing or repeated
+    found = leaks(docs.select(row.alias("id"), docs[text_col].alias("text")), benchmark, "id", "text", **options)
+    return without(docs, cut_lineage(found.select("id")), row)

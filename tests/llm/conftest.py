@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from gradpath.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "gradpath-tests", **{"spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4"})
+    return local_session(int(os.environ.get("TEST_CPUS", "8")), "gradpath-tests", **{"spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4"})
 
 
 def rows(df, key="id"):

@@ -97,9 +97,9 @@ def test_tiling_against_brute_force(spark, documents, block_words):
 def test_reordered_passage_is_found_and_clean_stays(spark, documents):
     item = [f"w{i}" for i in range(30)]
     bench = spark.createDataFrame([(1, " ".join(item)), (None, "a b c d e f")], "item_id bigint, text string")
-    docs = documents([(1, " ".join(item[20:] + ["x"] + item[10:20] + ["y"] + item[:10])), (2, " ".join(item[:12])), (None, "nothing here"), (4, None), (5, "A b, c d e f")])
+    docs = documents([(1, " ".join(item[20:] + ["x"] + item[10:20] + ["y"] + item[:10])), (2, " ".join(item[:12])), (None, "nothing here"), (4, None), (5, "A b, c d e f"), (None, "a b c d e f")])
     got = {r["id"]: (r["tiles"], r["matched"]) for r in tiling.leaks(docs, bench).collect()}
-    assert got == {1: (3, 30), 5: (1, 6)}
+    assert got == {1: (3, 30), 5: (1, 6), None: (1, 6)}
     kept = tiling.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4", "None"]
 
