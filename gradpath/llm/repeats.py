@@ -144,7 +144,7 @@ def levels(docs: DataFrame, window: int = WINDOW, until: int | None = None) -> t
     found, out, length = cut_lineage(repeated(anchors(single, window, part), False)), {}, part
     while until is None or length < until:
         length = min(2 * length, window) if length < window else 2 * length
-        named = single.join(broadcast_if_small(found, SMALL), "id")
+        named = single.join(found, "id")  # ranges grow with the texts; Spark picks the join
         last = until is not None and length >= until
         found = cut_lineage(repeated(windows_in(named, length), last))
         if found.isEmpty() and length > window:
@@ -165,7 +165,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for ranges in found.values():
         gone = gone.unionByName(ranges)
     gone = gone.select(F.col("id").alias("_id"), "ranges").dropDuplicates(["_id"])
-    joined = rows.join(broadcast_if_small(cut_lineage(gone), SMALL), F.col("id") == F.col("_id"), "left").select("id", "text", "ranges")
+    joined = rows.join(cut_lineage(gone), F.col("id") == F.col("_id"), "left").select("id", "text", "ranges")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = split(batch.column("text"))
