@@ -9,11 +9,14 @@ from __future__ import annotations
 from gradpath.operators.scoring import CARD, CARD_INTERCEPT
 from gradpath.schema import FEATURES
 
+# white space of every kind, as the characters themselves
+SPACE = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 TOKENS = r"""tokens as (
-select job, row_id ord_row, i ord_pos, regexp_replace(parts[i + 1], '^\s+|\s+$', '', 'g') skill
+select job, row_id ord_row, i ord_pos, regexp_replace(parts[i + 1], '^{SPACE}+|{SPACE}+$', '', 'g') skill
 from (select *, unnest(range(len(parts))) i from (
   select row_id, job, string_split(coalesce(skills, '') || ',' || langs || ',' || coalesce(tools, ''), ',') parts from {catalogue}) a
-where parts is not null) b)"""
+where parts is not null) b)""".replace("{SPACE}", SPACE)
 
 EDGES = """edges as (
 select job, skill, ord_row, cast(ord_pos as int) ord_pos from (
@@ -80,8 +83,8 @@ def confidence(p: str) -> str:
     )
 
 
-def unit(ident: str, n: str) -> str:
-    return f"((({ident} % 2147483648) * 1103515245 + ({n}) * 12345) % 2147483648) / 2147483648::double"
+def unit(ident: str, label: str) -> str:
+    return f"(('0x' || substr(md5({ident} || ':' || {label}), 1, 13))::bigint / {16**13}::double)"
 
 
 def half_up(x: str, digits: int) -> str:

@@ -1,32 +1,35 @@
-"""Queries on trained models: smaller ensembles than the full size, on all profiles.
+"""Queries on trained models at their full size, on all profiles.
 
 A bundle is trained once per session and data folder and then used by every query that
-needs one, as a served model would be.
+needs one, as a served model would be; bundles of other sessions are let go.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradpath.catalog.registry import encoded, query
+from gradpath.catalog import fragments as fr
+from gradpath.catalog.profile_queries import TYPED_FORM
+from gradpath.catalog.registry import dictionaries, encoded, query
 from gradpath.operators import attribution as at
 from gradpath.operators import graph as gr
-from gradpath.operators.balance import split
-from gradpath.operators.models import Settings, confusion, fit_booster, safe_score
+from gradpath.operators.balance import assign_folds, row_key, split
+from gradpath.operators.models import confusion, earlier_settings, fit_booster, safe_score
 from gradpath.operators.scoring import score, with_bands
+from gradpath.operators.validate import coerce_form
 from gradpath.plans.train import Bundle, train
 from gradpath.schema import FEATURES, LABEL
-from gradpath.sources.views import load
+from gradpath.sources.views import load, with_views
 
-# the API's defaults are the full size; these keep a query within seconds
-SMALL = Settings(forest_trees=20, rounds=10, folds=3)
 _bundles: dict[tuple[str, str], Bundle] = {}
 
 
 def bundle(spark, d) -> Bundle:
     key = (spark.sparkContext.applicationId, d)
     if key not in _bundles:
-        _bundles[key] = train(load(spark, d, "unbalanced"), gr.build_edges(load(spark, d, "catalogue")), SMALL)
+        for old in [k for k in _bundles if k[0] != key[0]]:
+            del _bundles[old]
+        _bundles[key] = train(load(spark, d, "unbalanced"), gr.build_edges(load(spark, d, "catalogue")))
     return _bundles[key]
 
 
@@ -76,5 +79,49 @@ def tree_attribution(spark, d):
 def plain_booster(spark, d):
     """The earlier variant: one booster on raw, unbalanced data; unusable rows score 0."""
     trained = bundle(spark, d)
-    model = fit_booster(encoded(spark, d, "unbalanced"), SMALL, scale=False)
+    model = fit_booster(encoded(spark, d, "unbalanced"), earlier_settings(), scale=False)
     return safe_score(load(spark, d, "unbalanced"), model, trained.gender, trained.stream).select("id", F.round("p", 6).alias("p"))
+
+
+@query("train_counts", with_views(
+    f"""select 'held out' item, count(*) n from {{unbalanced}} where not ({fr.unit('id', "'split'")} < 0.8)
+    union all select 'held out, placed', count(*) from {{unbalanced}} where not ({fr.unit('id', "'split'")} < 0.8) and PlacedOrNot = 1
+    union all select 'trained on', 2 * max(n) from (select count(*) n from {{unbalanced}} where {fr.unit('id', "'split'")} < 0.8 group by PlacedOrNot) x
+    union all select 'edges', count(*) from edges
+    union all select 'jobs', count(distinct job) from edges
+    union all select 'skills', count(distinct skill) from edges""", fr.TOKENS, fr.EDGES))
+def train_counts(spark, d):
+    """What the report of a training run counts: hold-out, balanced training rows, graph."""
+    trained, r = bundle(spark, d), bundle(spark, d).report
+    graph = gr.SkillGraph.from_edges(trained.edges, measure=False).summary()
+    counts = spark.createDataFrame([("held out", r["n"]), ("held out, placed", r["true_pos"] + r["false_neg"]), ("trained on", r["train_rows"])], "item string, n bigint")
+    return counts.unionByName(graph.select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("bigint").alias("n")) for c in ("edges", "jobs", "skills")]))))
+
+
+@query("attribution_adds_up", with_views("select id, 0::double as off from {unbalanced}"))
+def attribution_adds_up(spark, d):
+    """Base value and attributions of every profile against the booster's margin: no difference."""
+    trained = bundle(spark, d)
+    done = at.signed(trained.attribution().attach(score(encoded(spark, d, "unbalanced"), trained.booster)))
+    # the booster's log-odds are twice its margin
+    margin = F.log(F.col("p") / (1 - F.col("p"))) / 2
+    return done.select("id", (F.round(at.prediction_value() - margin, 6) + 0.0).alias("off"))
+
+
+@query("oof_cover", with_views(f"""select id, cast(floor({fr.unit("(id || '/0')", "'fold'")} * 5) as int) fold from {{unbalanced}}"""))
+def oof_cover(spark, d):
+    """Every row is scored once, by the models that have not seen its fold."""
+    rows = encoded(spark, d, "unbalanced").withColumn("copy", F.lit(0))
+    return assign_folds(rows, 5, row_key()).select("id", "fold")
+
+
+@query("unusable_rows", with_views(
+    """select id, p.Gender is not null and p.Stream is not null and Age is not null and Internships is not null and CGPA is not null
+      and exists (select 1 from {profiles} t where t.Gender = p.Gender) and exists (select 1 from {profiles} t where t.Stream = p.Stream) usable
+    from typed_form p""", TYPED_FORM))
+def unusable_rows(spark, d):
+    """Forms that the earlier variant can score; the others get 0.0 and no factors."""
+    forms = coerce_form(load(spark, d, "forms"))
+    model = fit_booster(encoded(spark, d, "unbalanced"), earlier_settings(), scale=False)
+    done = safe_score(forms, model, *dictionaries(spark, d))
+    return done.select("id", F.when((F.col("p") == 0.0) == F.col("usable"), None).otherwise(F.col("usable")).alias("usable"))

@@ -30,14 +30,14 @@ def scan_catalogue(spark, d):
     return catalogue_columns(raw)
 
 
-_TYPED_FORM = r"""typed_form as (
-select id, try_cast(age_text as int) Age, Gender, Stream, cast(coalesce(try_cast(internships_text as double), 0) as int) Internships,
+TYPED_FORM = r"""typed_form as (
+select id, try_cast(regexp_extract(regexp_replace(age_text, '^{SPACE}+|{SPACE}+$', '', 'g'), '^[+-]?[0-9]+') as int) Age, Gender, Stream, coalesce(try_cast(trunc(try_cast(internships_text as double)) as int), 0) Internships,
   coalesce(try_cast(cgpa_text as double), 0) CGPA, Hostel, HistoryOfBacklogs,
-  array_to_string(list_filter(list_transform(string_split(skills_text, ','), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), '|') skills,
-  nullif(role_text, '') desired_role, answer_text from {forms})"""
+  array_to_string(list_filter(list_transform(string_split(skills_text, ','), lambda s: regexp_replace(s, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda s: s <> ''), '|') skills,
+  nullif(role_text, '') desired_role, answer_text from {forms})""".replace("{SPACE}", fr.SPACE)
 
 
-@query("coerce_form", with_views("select * exclude (answer_text) from typed_form", _TYPED_FORM))
+@query("coerce_form", with_views("select * exclude (answer_text) from typed_form", TYPED_FORM))
 def coerce_form(spark, d):
     done = va.coerce_form(load(spark, d, "forms"))
     return done.select(*PROFILE, F.array_join("skills", "|").alias("skills"), "desired_role")
@@ -50,7 +50,7 @@ def coerce_form(spark, d):
       case when CGPA < 0 then 'CGPA below 0' end, case when CGPA > 10 then 'CGPA above 10' end,
       case when Hostel < 0 then 'Hostel below 0' end, case when Hostel > 1 then 'Hostel above 1' end,
       case when HistoryOfBacklogs < 0 then 'HistoryOfBacklogs below 0' end,
-      case when HistoryOfBacklogs > 1 then 'HistoryOfBacklogs above 1' end] if r is not null], '; ') reasons from typed_form""", _TYPED_FORM))
+      case when HistoryOfBacklogs > 1 then 'HistoryOfBacklogs above 1' end] if r is not null], '; ') reasons from typed_form""", TYPED_FORM))
 def validate_profiles(spark, d):
     """Every form with the reasons to reject it; valid ones have none."""
     marked = va.mark_violations(va.coerce_form(load(spark, d, "forms")))
@@ -73,7 +73,7 @@ def flags_yes_no(spark, d):
 
 @query("encode_profiles", with_views(
     "select id, Age, Gender, Stream, Internships, CGPA, Hostel, HistoryOfBacklogs, GenderName, StreamName from encoded",
-    _TYPED_FORM, fr.encoded("typed_form")))
+    TYPED_FORM, fr.encoded("typed_form")))
 def encode_profiles(spark, d):
     """Forms with unknown classes, encoded by the dictionaries of the profiles."""
     forms = va.coerce_form(load(spark, d, "forms"))
@@ -94,7 +94,7 @@ def label_dictionary(spark, d):
     """select id, case when coalesce(CGPA, 0) = 0 or CGPA < 0 then 0 when CGPA > 10 then 10 else CGPA end::double CGPA,
     case when coalesce(Age, 0) = 0 or Age < 15 then 15 when Age > 40 then 40 else Age end::double Age,
     case when coalesce(Internships, 0) = 0 or Internships < 0 then 0 when Internships > 10 then 10 else Internships end::double Internships
-    from typed_form""", _TYPED_FORM))
+    from typed_form""", TYPED_FORM))
 def clamp_inputs(spark, d):
     forms = va.coerce_form(load(spark, d, "forms"))
     limit = lambda c, low, high: clamp(F.col(c).cast("double"), low, high).alias(c)
@@ -137,22 +137,22 @@ def smote_neighbours(spark, d):
     from picks c join minority m on m.id = c.id join near n on n.id = c.id and n.rank = c.pick join minority t on t.id = n.neighbour""",
     *_MINORITY,
     "totals as (select count(*) filter (PlacedOrNot = 1) m, count(*) filter (PlacedOrNot = 0) - count(*) filter (PlacedOrNot = 1) quota from encoded)",
-    f"""donors as (select id, quota // m + case when row_number() over (order by {fr.unit('id', '7')}, id) <= quota % m then 1 else 0 end copies
+    f"""donors as (select id, quota // m + case when row_number() over (order by {fr.unit('id', "'lucky'")}, id) <= quota % m then 1 else 0 end copies
       from minority, totals)""",
     "copies as (select id, unnest(range(1, copies + 1)) as copy from donors)",
-    f"""picks as (select c.id, c.copy, {fr.unit('c.id', 'c.copy * 2 + 1')} u,
-      cast(floor({fr.unit('c.id', 'c.copy * 2')} * (select count(*) from near n where n.id = c.id)) as int) + 1 pick from copies c)"""))
+    f"""picks as (select c.id, c.copy, {fr.unit('c.id', "('along' || c.copy)")} u,
+      cast(floor({fr.unit('c.id', "('pick' || c.copy)")} * (select count(*) from near n where n.id = c.id)) as int) + 1 pick from copies c)"""))
 def smote_balance(spark, d):
     done = ba.balance(encoded(spark, d, "unbalanced"))
     return done.select("id", "copy", *[F.round(f, 6).alias(f) for f in FEATURES], LABEL)
 
 
-@query("train_test_split", with_views(f"select id, {fr.unit('id', '42')} < 0.8 in_train from {{profiles}}"))
+@query("train_test_split", with_views(f"select id, {fr.unit('id', "'split'")} < 0.8 in_train from {{profiles}}"))
 def train_test_split(spark, d):
     return ba.split(load(spark, d, "profiles")).select("id", "in_train")
 
 
-@query("oof_folds", with_views(f"select id, cast(floor({fr.unit('id', '43')} * 5) as int) fold from {{profiles}}"))
+@query("oof_folds", with_views(f"select id, cast(floor({fr.unit('id', "'fold'")} * 5) as int) fold from {{profiles}}"))
 def oof_folds(spark, d):
     return ba.assign_folds(load(spark, d, "profiles"), 5).select("id", "fold")
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradpath.catalog import fragments as fr
+from gradpath.catalog.profile_queries import TYPED_FORM
 from gradpath.catalog.registry import catalogue_graph, encoded, engine, query
 from gradpath.functions import bands
 from gradpath.functions.numeric import fixed
 from gradpath.functions.text import feature_display
 from gradpath.operators import attribution as at
+from gradpath.operators import validate as va
 from gradpath.operators import whatif as wi
 from gradpath.operators.graph import SkillGraph
 from gradpath.operators.scoring import CARD, CARD_INTERCEPT, ExpressionScorer, score, with_bands
@@ -171,6 +173,23 @@ def scenario_display(spark, d):
     return wi.scenario_display(_whatif(spark, d))
 
 
+_UNKNOWN = (
+    TYPED_FORM, "valid_form as (select * from typed_form where Age between 15 and 40 and Internships >= 0 and CGPA between 0 and 10 and Gender is not null and Stream is not null "
+    "and Hostel between 0 and 1 and HistoryOfBacklogs between 0 and 1)",
+    fr.encoded("valid_form"), fr.encoded("(select * replace ('Computer Science' as Stream) from valid_form)", name="switched"),
+    f"""switch as (select e.id, {fr.percent()} as orig, s.moved from encoded e
+      join (select id, {fr.percent()} as moved from switched) s on s.id = e.id where e.StreamName <> 'Computer Science')""",
+)
+
+
+@query("whatif_unknown", with_views("select id, orig original_risk, moved modified_risk from switch where moved > orig", *_UNKNOWN))
+def whatif_unknown(spark, d):
+    """The switch of stream for forms, unknown classes among them: the changed form is encoded anew."""
+    forms = va.coerce_form(load(spark, d, "forms"))
+    rows = wi.scenario_rows(answers.whatif(engine(spark, d), forms)).filter("title = 'Switch to CS'")
+    return rows.select("id", "original_risk", "modified_risk")
+
+
 def _grid_sql(grid: dict) -> str:
     rows = " union all ".join(
         f"select id, '{f}' field, {i} nr, {v}::double as value, {fr.percent({f: f'{v}::double'})} as percent, {fr.percent()} base from encoded"
@@ -198,6 +217,21 @@ def sweep_delta(spark, d):
     return wi.sweep_delta(wi.sweep(encoded(spark, d), ExpressionScorer(), GRID))
 
 
+CASES = [
+    {"Age": 21, "Internships": 2, "CGPA": 8.5, "HistoryOfBacklogs": 0},
+    {"Age": 24, "Internships": 0, "CGPA": 6.25, "HistoryOfBacklogs": 1},
+    {"Age": 19, "Internships": 4, "CGPA": 9.75, "HistoryOfBacklogs": 0},
+]
+_JOINT = "grid as (" + " union all ".join(
+    f"select id, {i} as case_nr, {fr.percent({f: f'{v}::double' for f, v in case.items()})} as percent, {fr.percent()} base from encoded" for i, case in enumerate(CASES)) + ")"
+
+
+@query("sweep_joint", with_views(f"""select id, case_nr as "case", percent, {fr.half_up('(percent - base)', 1)} + 0::double delta from grid""", fr.encoded(), _JOINT))
+def sweep_joint(spark, d):
+    """Profiles under settings of age, internships, CGPA and backlogs all at once."""
+    return wi.sweep_joint(encoded(spark, d), ExpressionScorer(), CASES)
+
+
 _PREDICT = (
     *fr.GRAPH, fr.VOTES, fr.BEST, fr.gap_of("gap", "select id, recommended job from best"), fr.encoded(),
     f"scored as (select id, {fr.probability()} p from encoded)",

@@ -58,17 +58,8 @@ def assessment_report(spark, d):
     """The full assessment text of every profile."""
     profiles, skills, desired = (load(spark, d, v) for v in ("profiles", "skills", "desired"))
     ready = engine(spark, d, catalogue_graph(spark, d))
-    coded = ready.encode(profiles)
-    explained = answers.explain(ready, profiles, at.LinearAttribution.fit(ExpressionScorer(), coded))
-    listed = skills.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "skill")))["skill"].alias("skills"))
-    predicted = answers.predict(ready, profiles, skills, desired)
-    table = (
-        answers.whatif(ready, profiles)
-        .join(explained.select("id", "factors"), "id")
-        .join(predicted.withColumnRenamed("recommended_job", "recommended"), "id")
-        .join(listed, "id", "left")
-        .join(desired.select("id", F.nullif("desired_role", F.lit("")).alias("desired_role")), "id", "left")
-    )
+    attribution = at.LinearAttribution.fit(ExpressionScorer(), ready.encode(profiles))
+    table = answers.assess(ready, profiles, skills, desired, attribution)
     return table.select("id", re_.assessment_report(table).alias("report"))
 
 
@@ -125,6 +116,11 @@ def request_log(spark, d):
     return re_.log_lines(load(spark, d, "requests"))
 
 
+@query("request_arrivals", with_views(f"select event_id, '[IP: ' || {_IP} || '] ' || method || ' ' || path line from {{requests}}"))
+def request_arrivals(spark, d):
+    return re_.arrival_lines(load(spark, d, "requests"))
+
+
 @query("request_counts", with_views("select path, status, count(*) n from {requests} group by path, status"))
 def request_counts(spark, d):
     return re_.log_counts(load(spark, d, "requests"))

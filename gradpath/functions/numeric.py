@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MODULUS = 2**31
+HEX_DIGITS = 13  # 52 bits: a double holds them exactly
 
 
-def unit(id_col: Column | str, n: int | Column) -> Column:
-    """A number in [0, 1) fixed by (id, n), the same under any partitioning."""
+def unit(id_col: Column | str, label: str | int | Column) -> Column:
+    """A number in [0, 1) fixed by (id, label), the same under any partitioning.
+
+    It is the head of an MD5 sum, so numbers of different ids or labels are independent
+    of each other for all that matters here.
+    """
     ident = F.col(id_col) if isinstance(id_col, str) else id_col
-    step = F.lit(n) if isinstance(n, int) else n
-    mixed = F.pmod(ident.cast("bigint"), F.lit(MODULUS).cast("bigint")) * F.lit(1103515245).cast(
-        "bigint"
-    ) + step.cast("bigint") * F.lit(12345).cast("bigint")
-    return F.pmod(mixed, F.lit(MODULUS).cast("bigint")) / F.lit(float(MODULUS))
+    name = label if isinstance(label, Column) else F.lit(str(label))
+    digest = F.md5(F.concat(ident.cast("string"), F.lit(":"), name.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS))
 
 
 def half_up(x: Column, digits: int) -> Column:

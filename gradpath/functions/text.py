@@ -32,9 +32,13 @@ CHAT_RULES = [
 FAILURE_MARKS = ["Connection error", "404", "Unknown model error"]
 
 
+# What counts as white space, Unicode's and the separators of ASCII.
+SPACES = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def strip(c: Column) -> Column:
     """Remove every kind of white space at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, f"^{SPACES}", ""), f"{SPACES}$", "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -45,13 +49,14 @@ def feature_display(name: Column) -> Column:
     """Display name of an encoded feature column."""
     known = F.create_map(*[F.lit(x) for pair in FEATURE_NAMES.items() for x in pair])
     spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    # a word begins after anything but a letter, digit or underscore
     words = F.transform(
-        F.split(spaced, " "),
+        F.regexp_extract_all(spaced, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1)),
         lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)),
     )
     stream = F.concat(F.lit("Stream: "), F.replace(F.substring(name, 8, 1 << 30), F.lit("_"), F.lit(" ")))
     return F.when(name.startswith("Stream_"), stream).otherwise(
-        F.coalesce(F.try_element_at(known, name), F.array_join(words, " "))
+        F.coalesce(F.try_element_at(known, name), F.array_join(words, ""))
     )
 
 

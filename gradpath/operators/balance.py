@@ -16,7 +16,7 @@ from gradpath.schema import FEATURES, LABEL
 
 NEIGHBOURS = 5  # Fixed value: neighbours considered per donor.
 GRID = ["Age", "CGPA", "Stream"]
-PICK_SALT, SPLIT_SALT, FOLD_SALT = 7, 42, 43
+LUCKY, SPLIT, FOLD = "lucky", "split", "fold"
 BUCKETS = 1 << 16
 
 
@@ -50,8 +50,17 @@ def smallest_by_hash(df: DataFrame, wanted: int, key: Column) -> DataFrame:
 
 
 def class_neighbours(df: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(id, coords, near) among the given rows of encoded profiles."""
-    return nearest(df, FEATURES, k, axis="CGPA", grid_dims=GRID)
+    """(id, coords, near) among the given rows of encoded profiles.
+
+    All features but CGPA must be whole or half numbers (medians that were filled in may be
+    halves); the search relies on the gap between their values.
+    """
+    steps = [F.col(f).cast("double") for f in FEATURES if f != "CGPA"]
+    off = lambda scale: reduce(lambda a, b: a | b, [c * scale != F.floor(c * scale) for c in steps])
+    r = df.agg(F.count_if(off(1)).alias("halves"), F.count_if(off(2)).alias("other")).first()
+    if r["other"]:
+        raise ValueError("features other than CGPA must be multiples of 0.5")
+    return nearest(df, FEATURES, k, axis="CGPA", grid_dims=GRID, separation=0.5 if r["halves"] else 1.0)
 
 
 def neighbour_rows(near: DataFrame) -> DataFrame:
@@ -72,14 +81,14 @@ def synthetic_rows(members: DataFrame, quota: int, k: int = NEIGHBOURS) -> DataF
     if total < 2:
         raise ValueError("a class needs two rows before it can be balanced")
     each, extra = divmod(quota, total)
-    lucky = smallest_by_hash(members.select("id"), extra, unit("id", PICK_SALT)).withColumn("_extra", F.lit(1))
+    lucky = smallest_by_hash(members.select("id"), extra, unit("id", LUCKY)).withColumn("_extra", F.lit(1))
     near = class_neighbours(members, k)
     donors = near.join(lucky, "id", "left").withColumn("_copies", F.lit(each) + F.coalesce("_extra", F.lit(0)))
     copies = donors.filter(F.col("_copies") > 0).select(
         "id", "coords", "near", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy")
     )
-    pick = F.floor(unit("id", F.col("copy") * 2) * F.size("near")).cast("int") + 1
-    along = unit("id", F.col("copy") * 2 + 1)
+    pick = F.floor(unit("id", F.concat(F.lit("pick"), "copy")) * F.size("near")).cast("int") + 1
+    along = unit("id", F.concat(F.lit("along"), "copy"))
     placed = copies.withColumns({"_to": F.element_at("near", pick)["coords"], "_u": along})
     return placed.select(
         "id", "copy",
@@ -102,14 +111,14 @@ def balance(df: DataFrame, k: int = NEIGHBOURS, label: str = LABEL) -> DataFrame
 
 def split(df: DataFrame, train_share: float = 0.8, key: Column | str = "id") -> DataFrame:
     """Add ``in_train``; shares are met on average, not exactly."""
-    return df.withColumn("in_train", unit(key, SPLIT_SALT) < train_share)
+    return df.withColumn("in_train", unit(key, SPLIT) < train_share)
 
 
 def assign_folds(df: DataFrame, folds: int = 5, key: Column | str = "id") -> DataFrame:
     """Add ``fold``, 0 to folds - 1."""
-    return df.withColumn("fold", F.floor(unit(key, FOLD_SALT) * folds).cast("int"))
+    return df.withColumn("fold", F.floor(unit(key, FOLD) * folds).cast("int"))
 
 
 def row_key() -> Column:
     """A key that differs between the copies of one donor."""
-    return F.col("id") * 1000003 + F.col("copy")
+    return F.concat(F.col("id").cast("string"), F.lit("/"), F.col("copy").cast("string"))

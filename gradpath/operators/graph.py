@@ -40,15 +40,13 @@ def build_edges(catalogue: DataFrame, null_mode: str = "reference") -> DataFrame
     return first_seen(skill_tokens(catalogue, null_mode), "job", "skill")
 
 
-ORD_STEP = 1 << 20  # tokens a catalogue row may have
-
-
 def edge_order() -> F.Column:
-    """The place of an edge as one number, so that aggregates on it stay hash-based."""
-    checked = F.when(F.col("ord_pos") < ORD_STEP, F.col("ord_pos")).otherwise(
-        F.raise_error(F.lit("a catalogue row has too many tokens")).cast("int")
-    )
-    return F.col("ord_row") * F.lit(ORD_STEP).cast("bigint") + checked
+    """The place of an edge as one number that sorts like (row, place in the row).
+
+    A place is below 2**31, as an array's index, and a decimal holds any row id before it;
+    unlike a struct it keeps aggregates hash-based.
+    """
+    return F.col("ord_row").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("ord_pos").cast("decimal(10,0)")
 
 
 def first_seen(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -93,7 +91,7 @@ class SkillGraph:
         hint = broadcast_if_small(numbers)
         for end in ("src", "dst"):
             adj = adj.join(hint.select(F.col("name").alias(end), F.col("nr").alias(f"{end}_nr")), end)
-        adj = adj.persist()
+        adj = cut_lineage(adj)
         small = measured_bytes(adj) <= BROADCAST_BYTES
         return cls(edges, adj, F.broadcast(adj) if small else adj, small, numbers)
 
@@ -101,9 +99,6 @@ class SkillGraph:
     def from_catalogue(cls, catalogue: DataFrame, null_mode: str = "reference", measure: bool = True) -> "SkillGraph":
         return cls.from_edges(build_edges(catalogue, null_mode), measure)
 
-    def release(self) -> None:
-        self.adj.unpersist()
-
     def skill_list(self) -> DataFrame:
         return self.edges.select("skill").distinct().orderBy("skill")
 

@@ -21,6 +21,7 @@ from math import ceil, log2, sqrt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gradpath.functions.sizing import broadcast_if_small
 from gradpath.session import cut_lineage
 
 BIN_LIMIT = 200_000  # distinct vectors one task may have to sort; fuller bins are cut finer
@@ -43,6 +44,8 @@ def nearest(
     if width >= separation:
         raise ValueError("the bin width must be below the separation of the cells")
     pts = points.select("id", *[F.col(d).cast("double").alias(d) for d in dims])
+    if not pts.filter(reduce(lambda a, b: a | b, [F.col(d).isNull() for d in dims])).isEmpty():
+        raise ValueError("a coordinate is missing; fill it in before neighbours are searched")
     few = pts.withColumn("_n", F.row_number().over(W.partitionBy(*dims).orderBy("id"))).filter(F.col("_n") <= k + 1)
     vectors = cut_lineage(few.groupBy(*dims).agg(F.array_sort(F.collect_list("id")).alias("ids")))
 
@@ -73,7 +76,7 @@ def nearest(
 
     table = reduce(DataFrame.unionByName, settled)
     others = F.slice(F.filter("cand", lambda c: c["id"] != F.col("id")), 1, k)
-    return pts.join(table, dims).select("id", F.array(*dims).alias("coords"), others.alias("near"))
+    return pts.join(broadcast_if_small(cut_lineage(table)), dims).select("id", F.array(*dims).alias("coords"), others.alias("near"))
 
 
 def _fullest_bin(vectors: DataFrame, rest: list[str], axis: str, width: float) -> int:

@@ -7,7 +7,7 @@ another are submitted from a few threads, so the cluster is not idle between sma
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Callable, Mapping
 
@@ -17,6 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradpath.operators.attribution import factor_rows, signed
 from gradpath.operators.balance import assign_folds
 from gradpath.operators.scale import MedianImputer, PopulationScaler
 from gradpath.operators.scoring import own_features
@@ -163,6 +164,11 @@ class BoosterModel:
         return processed(self.preprocessor, own_features())
 
 
+def earlier_settings(s: Settings = Settings()) -> Settings:
+    """The earlier variant's booster keeps its library's default depth of 6."""
+    return replace(s, booster_depth=6)
+
+
 def fit_booster(train: DataFrame, s: Settings = Settings(), preprocessor: PipelineModel | None = None, scale: bool = True) -> BoosterModel:
     preprocessor = preprocessor or fit_preprocessor(train, scale)
     data = train.select(LABEL, array_to_vector(processed(preprocessor, own_features())).alias(VECTOR)).persist()
@@ -173,14 +179,25 @@ def fit_booster(train: DataFrame, s: Settings = Settings(), preprocessor: Pipeli
 
 
 def safe_score(df: DataFrame, model: BoosterModel, gender, stream, out: str = "p") -> DataFrame:
-    """Score raw profiles; one with an unknown class or a missing number scores 0.0."""
+    """Score raw profiles; one with an unknown class or a missing number scores 0.0.
+
+    ``usable`` tells which is which; for the others the list of factors is empty too.
+    """
     coded = stream.attach(gender.attach(df, "_g"), "_s")
     usable = F.lit(True)
     for c in ("_g", "_s", "Age", "Internships", "CGPA", "Hostel", "HistoryOfBacklogs"):
         usable = usable & F.col(c).isNotNull()
     feats = {**own_features(), "Gender": F.col("_g"), "Stream": F.col("_s")}
     scored = model.score_many(coded, {out: feats})
-    return scored.withColumn(out, F.when(usable, F.col(out)).otherwise(0.0)).drop("_g", "_s")
+    return scored.withColumns({"usable": usable, out: F.when(usable, F.col(out)).otherwise(0.0)}).drop("_g", "_s")
+
+
+def safe_factors(df: DataFrame, attribution, gender, stream) -> DataFrame:
+    """(id, feature, impact, rank) of raw profiles as the earlier variant lists them, strongest
+    first; none for a profile that scores 0.0 because it can't be used."""
+    coded = stream.attach(gender.attach(df, "_g"), "_s").filter(F.col("_g").isNotNull() & F.col("_s").isNotNull()).dropna(subset=["Age", "Internships", "CGPA", "Hostel", "HistoryOfBacklogs"])
+    coded = coded.withColumns({"Gender": F.col("_g"), "Stream": F.col("_s")})
+    return factor_rows(signed(attribution.attach(coded)), None).select("id", "feature", "impact", "rank")
 
 
 def confusion(scored: DataFrame, p: str = "p", label: str = LABEL) -> DataFrame:

@@ -146,6 +146,13 @@ def chat_history(messages: DataFrame, runs: int = HISTORY_RUNS) -> DataFrame:
     )
 
 
+def arrival_lines(requests: DataFrame) -> DataFrame:
+    """(event_id, line): what is logged when a request arrives."""
+    ip = client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("peer"))
+    line = F.concat(F.lit("[IP: "), ip, F.lit("] "), F.col("method"), F.lit(" "), F.col("path"))
+    return requests.select("event_id", line.alias("line"))
+
+
 def log_lines(requests: DataFrame) -> DataFrame:
     """(event_id, seen_at, ip, line) for a request log."""
     ip = client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("peer"))

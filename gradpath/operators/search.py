@@ -16,8 +16,8 @@ def skill_search(queries: DataFrame, chosen: DataFrame, catalogue: DataFrame, pa
 
     ``queries(query_id, id, text)``, ``chosen(id, skill)``, ``catalogue(skill)``. Every
     substring of a skill name is an index entry, so the search is an equality join and
-    works once per distinct text. A list that is to lose up to m chosen entries is made
-    m longer beforehand, so the page is always exact.
+    works once per distinct text. A list that is to lose up to m entries its person has
+    chosen is made m longer beforehand, so the page is always exact.
     """
     names = catalogue.select("skill").distinct()
     texts = queries.select(F.lower("text").alias("text")).distinct()
@@ -29,15 +29,18 @@ def skill_search(queries: DataFrame, chosen: DataFrame, catalogue: DataFrame, pa
         .select("skill", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("len") + 1), lambda i: F.substring(F.col("low"), i, F.col("len")))).alias("text"))
         .distinct()
     )
-    most = chosen.groupBy("id").agg(F.countDistinct("skill").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()["m"]
+    many = chosen.groupBy("id").agg(F.countDistinct("skill").alias("extra"))
+    asked = queries.select("query_id", "id", F.lower("text").alias("text")).join(many, "id", "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+    longest = asked.groupBy("text").agg(F.max("extra").alias("most"))
     by_name = W.partitionBy("text").orderBy("skill")
     found = (
-        fragments.join(texts, "text", "left_semi")
+        fragments.join(longest, "text")
         .withColumn("place", F.row_number().over(by_name))
-        .filter(F.col("place") <= page + most)
+        .filter(F.col("place") <= page + F.col("most"))
     )
-    asked = queries.select("query_id", "id", F.lower("text").alias("text"))
-    open_rows = asked.join(found, "text").join(chosen.select("id", "skill").distinct(), ["id", "skill"], "left_anti")
+    # a query looks at as many names as its own person may have chosen away
+    seen = asked.join(found.drop("most"), "text").filter(F.col("place") <= page + F.col("extra"))
+    open_rows = seen.join(chosen.select("id", "skill").distinct(), ["id", "skill"], "left_anti")
     return (
         open_rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("skill")))
         .filter(F.col("rank") <= page)

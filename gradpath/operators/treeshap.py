@@ -13,14 +13,17 @@ function; rows are scored where they lie.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradpath.operators.attribution import impact_array
+from gradpath.schema import FEATURES
 from gradpath.session import ensure_checkpoint_dir
 
 CHUNK = 512  # rows per array expression, to bound a task's memory
@@ -106,6 +109,7 @@ def shapley(x: np.ndarray, groups: list[LeafGroup]) -> np.ndarray:
 class TreeAttribution:
     groups: list[LeafGroup]
     base_value: float
+    inputs: Callable[[], Column] | None = None  # the model's inputs from a profile's features
 
     @classmethod
     def from_saved(cls, spark: SparkSession, path: str) -> "TreeAttribution":
@@ -131,6 +135,12 @@ class TreeAttribution:
         model.write().save(path)
         return cls.from_saved(spark, path)
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``impacts`` and ``base_value``; base plus impacts is the margin."""
+        phi = df.withColumn("_phi", self.column(self.inputs()))
+        shap = {f: F.col("_phi")[i] for i, f in enumerate(FEATURES)}
+        return phi.withColumns({"impacts": impact_array(shap), "base_value": F.lit(self.base_value)}).drop("_phi")
+
     def column(self, features: Column) -> Column:
         """Array of attributions for an array column of model inputs, in feature order."""
         groups = self.groups

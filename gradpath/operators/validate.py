@@ -6,7 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradpath.functions.numbering import number_rows
+from gradpath.functions.sizing import broadcast_if_small
 from gradpath.functions.text import blank_to_null, strip
+from gradpath.session import cut_lineage
 
 # Limits of the request format; the web form has an upper age of 50.
 LIMITS = {
@@ -17,6 +20,8 @@ LIMITS = {
     "HistoryOfBacklogs": (0, 1),
 }
 REQUIRED_TEXT = ["Gender", "Stream"]
+#: Values that a dictionary holds as literals; they are searched one after the other.
+INLINE_LIMIT = 50
 
 
 def violations(limits: dict = LIMITS, required: list[str] = REQUIRED_TEXT) -> Column:
@@ -53,13 +58,14 @@ def normalise_flags(df: DataFrame) -> DataFrame:
 
 
 def coerce_form(df: DataFrame) -> DataFrame:
-    """Typed columns from form text: unreadable numbers become 0 (age: null), the skill
-    list is split, trimmed and rid of blanks, an empty role becomes null."""
-    number = lambda c: F.coalesce(strip(F.col(c)).try_cast("double"), F.lit(0.0))
+    """Typed columns from form text: unreadable numbers become 0 and so do counts that no
+    integer holds; an age is the integer its text begins with, or null. The skill list is
+    split, trimmed and rid of blanks, an empty role becomes null."""
+    number = lambda c: F.coalesce(F.nanvl(strip(F.col(c)).try_cast("double"), F.lit(None)), F.lit(0.0))
     return df.withColumns(
         {
-            "Age": strip(F.col("age_text")).try_cast("int"),
-            "Internships": number("internships_text").cast("int"),
+            "Age": F.regexp_extract(strip(F.col("age_text")), r"^[+-]?[0-9]+", 0).try_cast("int"),
+            "Internships": F.coalesce(number("internships_text").try_cast("int"), F.lit(0)),
             "CGPA": number("cgpa_text"),
             "skills": F.filter(F.transform(F.split("skills_text", ","), strip), lambda s: s != ""),
             "desired_role": blank_to_null(F.col("role_text")),
@@ -72,7 +78,8 @@ class LabelDictionary:
     """Codes of one categorical column: sorted distinct values, numbered from 0.
 
     Up to ``inline_limit`` values the dictionary is held as literals and looked up inside
-    the row, without join or shuffle; beyond, it stays a table and is joined.
+    the row, without join or shuffle; beyond, it is a table that is joined, broadcast when
+    it was measured to be small. Codes and results are the same either way.
     """
 
     column: str
@@ -80,7 +87,7 @@ class LabelDictionary:
     values: list[str] | None  # None when there are too many to hold
 
     @classmethod
-    def fit(cls, df: DataFrame, column: str, inline_limit: int = 1000) -> "LabelDictionary":
+    def fit(cls, df: DataFrame, column: str, inline_limit: int = INLINE_LIMIT) -> "LabelDictionary":
         distinct = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
         head = distinct.limit(inline_limit + 1).collect()
         spark = df.sparkSession
@@ -88,11 +95,11 @@ class LabelDictionary:
             values = sorted((r["value"] for r in head), key=lambda v: v.encode())
             rows = [(v, i) for i, v in enumerate(values)]
             return cls(column, spark.createDataFrame(rows, "value string, code int"), values)
-        ranked = distinct.orderBy("value").rdd.zipWithIndex().map(lambda p: (p[0]["value"], p[1]))
-        return cls(column, spark.createDataFrame(ranked, "value string, code bigint"), None)
+        numbered = number_rows(distinct, F.col("value"), out="code")
+        return cls(column, cut_lineage(numbered.select("value", F.col("code").cast("int").alias("code"))), None)
 
     @classmethod
-    def from_table(cls, table: DataFrame, column: str, inline_limit: int = 1000) -> "LabelDictionary":
+    def from_table(cls, table: DataFrame, column: str, inline_limit: int = INLINE_LIMIT) -> "LabelDictionary":
         """From a saved (value, code) table."""
         head = table.limit(inline_limit + 1).collect()
         small = len(head) <= inline_limit
@@ -112,22 +119,28 @@ class LabelDictionary:
         """``df`` with the code in ``out``; null where the value is unknown."""
         if self.values is not None:
             return df.withColumn(out, self.code_of(F.col(self.column)))
-        codes = self.table.select(F.col("value").alias(self.column), F.col("code").alias(out))
-        return df.join(codes, self.column, "left")
+        codes = self.table.select(F.col("value").alias("_value"), F.col("code").cast("int").alias(out))
+        return df.join(broadcast_if_small(codes), df[self.column] == F.col("_value"), "left").drop("_value")
+
+    def code_of_value(self, value: str) -> int | None:
+        """The code of one value, None if it is unknown."""
+        found = self.table.filter(F.col("value") == value).select("code").first()
+        return None if found is None else int(found["code"])
 
 
 def encode(df: DataFrame, gender: LabelDictionary, stream: LabelDictionary) -> DataFrame:
     """Numeric features in place of the raw ones.
 
     One unknown value sets both codes to 0. Flags are normalised. The texts stay as
-    ``GenderName`` and ``StreamName``.
+    ``GenderName`` and ``StreamName``; ``GenderCode`` is the gender's own code, null where
+    it is unknown, for changed profiles whose stream is known.
     """
     coded = stream.attach(gender.attach(df, "_g"), "_s")
     known = F.col("_g").isNotNull() & F.col("_s").isNotNull()
     return (
         normalise_flags(coded)
         .withColumnsRenamed({"Gender": "GenderName", "Stream": "StreamName"})
-        .withColumns({"Gender": F.when(known, F.col("_g")).otherwise(0), "Stream": F.when(known, F.col("_s")).otherwise(0)})
+        .withColumns({"Gender": F.when(known, F.col("_g")).otherwise(0), "Stream": F.when(known, F.col("_s")).otherwise(0), "GenderCode": F.col("_g")})
         .drop("_g", "_s")
     )
 

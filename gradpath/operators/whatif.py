@@ -43,6 +43,16 @@ def _raised() -> dict[str, Column]:
     }
 
 
+def _in_stream(code: int | None) -> dict[str, Column]:
+    """Gender and stream as a changed profile would be encoded: with a known gender the new
+    stream counts and so does the gender, else both codes stay 0."""
+    known = F.col("GenderCode").isNotNull() & F.lit(code is not None)
+    return {
+        "Gender": F.when(known, F.col("GenderCode")).otherwise(0),
+        "Stream": F.when(known, F.lit(code)).otherwise(0),
+    }
+
+
 def _allowed() -> dict[str, Column]:
     return {
         "CGPA": F.col("CGPA") < CGPA_LIMIT,
@@ -66,7 +76,7 @@ def whatif(df: DataFrame, scorer: Scorer, cs_code: int | None, career_skills: st
         "_cgpa": {**base, "CGPA": raised["CGPA"]},
         "_internship": {**base, "Internships": raised["Internships"]},
         "_backlogs": {**base, "HistoryOfBacklogs": raised["HistoryOfBacklogs"]},
-        "_stream": {**base, "Stream": F.lit(cs_code if cs_code is not None else 0)},
+        "_stream": {**base, **_in_stream(cs_code)},
         "_hostel": {**base, "Hostel": F.lit(1)},
         "_all": {**base, **{f: F.when(allowed[f], raised[f]).otherwise(F.col(f)) for f in raised}},
     }
@@ -187,6 +197,19 @@ def sweep(df: DataFrame, scorer: Scorer, grid: dict[str, Iterable[float]]) -> Da
     return scored.withColumns({"base_percent": percent(F.col("_base")), "sweep": array}).drop(*variants)
 
 
+def sweep_joint(df: DataFrame, scorer: Scorer, cases: list[dict[str, float]]) -> DataFrame:
+    """(id, case, percent, delta): the profile re-scored with several fields changed at once.
+
+    Each case names the fields it overrides; ``delta`` is the change in one decimal.
+    """
+    base = own_features()
+    variants = {"_base": base} | {f"_case_{i}": {**base, **{f: F.lit(v) for f, v in case.items()}} for i, case in enumerate(cases)}
+    scored = scorer.score_many(df, variants)
+    rows = F.array(*[F.struct(F.lit(i).alias("case"), percent(F.col(f"_case_{i}")).alias("percent")) for i in range(len(cases))])
+    delta = half_up(F.col("percent") - percent(F.col("_base")), 1) + F.lit(0.0)
+    return scored.select("id", "_base", F.inline_outer(rows)).select("id", "case", "percent", delta.alias("delta"))
+
+
 def sweep_rows(df: DataFrame) -> DataFrame:
     return df.select("id", F.inline_outer("sweep"))
 

@@ -12,7 +12,7 @@ from gradpath.operators import attribution as at
 from gradpath.operators import graph as gr
 from gradpath.operators import paths, whatif as wi
 from gradpath.operators.scoring import Scorer, score, with_bands
-from gradpath.operators.validate import LabelDictionary, class_listing, encode, split_valid
+from gradpath.operators.validate import LabelDictionary, class_listing, encode, mark_violations, split_valid
 from gradpath.session import cut_lineage
 
 
@@ -27,8 +27,7 @@ class Engine:
 
     @property
     def cs_code(self) -> int | None:
-        values = self.stream.values or []
-        return values.index(wi.CS) if wi.CS in values else None
+        return self.stream.code_of_value(wi.CS)
 
     def encode(self, profiles: DataFrame) -> DataFrame:
         valid, _ = split_valid(profiles)
@@ -65,8 +64,11 @@ def predict_maps(engine: Engine, predictions: DataFrame, skills: DataFrame) -> D
     return gr.gap_map_nodes(engine.graph, targets, skills)
 
 
-def explain(engine: Engine, profiles: DataFrame, attribution: at.LinearAttribution, sign: str = "additive", k: int | None = at.TOP) -> DataFrame:
-    """(id, factors, base_value, prediction_value) with rounded values."""
+def explain(engine: Engine, profiles: DataFrame, attribution, sign: str = "additive", k: int | None = at.TOP) -> DataFrame:
+    """(id, factors, base_value, prediction_value) with rounded values.
+
+    ``attribution`` is a linear one or that of a trained booster (``Bundle.attribution``).
+    """
     attributed = at.signed(attribution.attach(engine.encode(profiles)), sign)
     return attributed.select(
         "id", at.factors(k).alias("factors"), F.round("base_value", 4).alias("base_value"),
@@ -96,6 +98,41 @@ def whatif(engine: Engine, profiles: DataFrame, skills: DataFrame | None = None,
     return wi.whatif(coded.join(learn, "id", "left"), engine.scorer, engine.cs_code, "skills_to_learn")
 
 
+def assess(engine: Engine, profiles: DataFrame, skills: DataFrame, desired: DataFrame, attribution) -> DataFrame:
+    """Everything the assessment report of a profile needs, in one row.
+
+    Scoring, factors and scenarios are worked out in the profile's own row; only the
+    recommended role, the skills and the desired role are joined to it.
+    """
+    own = with_bands(score(engine.encode(profiles), engine.scorer))
+    own = wi.whatif(own, engine.scorer, engine.cs_code)
+    own = at.signed(attribution.attach(own)).withColumn("factors", at.factors())
+    listed = cut_lineage(skills.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "skill")))["skill"].alias("skills")))
+    long = listed.select("id", F.posexplode("skills").alias("pos", "skill"))
+    best = gr.recommend(engine.graph, long).select("id", "recommended")
+    wish = desired.select("id", blank_to_null(F.col("desired_role")).alias("desired_role"))
+    return own.join(best, "id", "left").join(listed, "id", "left").join(wish, "id", "left")
+
+
+def answer_all(engine: Engine, requests: DataFrame, attribution=None) -> DataFrame:
+    """One row for every request, with its skills and desired role inside: the reasons it was
+    rejected for, or prediction, factors (with an attribution) and scenarios."""
+    marked = mark_violations(requests)
+    good = marked.filter(F.size("violations") == 0)
+    skills, desired = long_skills(good), good.select("id", "desired_role")
+    rows = predict(engine, good, skills, desired)
+    cases = whatif(engine, good, skills, desired).select("id", "scenarios", "best", "combined_risk")
+    rows = rows.join(cases, "id")
+    if attribution is not None:
+        rows = rows.join(explain(engine, good, attribution), "id")
+    return marked.select("id", "violations").join(rows, "id", "left")
+
+
+def rejected(profiles: DataFrame) -> DataFrame:
+    """The profiles that predict, explain and what-if leave out, with the reasons."""
+    return split_valid(profiles)[1]
+
+
 def options(engine: Engine, profiles: DataFrame) -> DataFrame:
     """(kind, value): streams, skills and jobs to choose from."""
     def kind(df: DataFrame, column: str, name: str) -> DataFrame:

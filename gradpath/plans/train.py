@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradpath.operators import balance as ba
 from gradpath.operators.graph import SkillGraph
 from gradpath.operators.models import BoosterModel, Settings, StackedModel, confusion, fit_booster, fit_preprocessor, fit_stack
+from gradpath.operators.scale import MedianImputer
 from gradpath.operators.scoring import score
 from gradpath.operators.treeshap import TreeAttribution
 from gradpath.operators.validate import LabelDictionary, encode
@@ -37,7 +38,9 @@ class Bundle:
         return Engine(self.stack, self.gender, self.stream, SkillGraph.from_edges(self.edges))
 
     def attribution(self) -> TreeAttribution:
-        return TreeAttribution.from_model(self.edges.sparkSession, self.booster.model)
+        found = TreeAttribution.from_model(self.edges.sparkSession, self.booster.model)
+        found.inputs = self.booster.inputs
+        return found
 
 
 def balanced_split(coded: DataFrame, order: str = "split_first") -> tuple[DataFrame, DataFrame]:
@@ -46,13 +49,16 @@ def balanced_split(coded: DataFrame, order: str = "split_first") -> tuple[DataFr
     ``"split_first"`` balances the training rows only. ``"reference"`` balances everything
     before the split, so that new rows may lie between a training and a test row.
     """
+    filled = lambda fit_on, df: MedianImputer(inputCols=FEATURES).fit(fit_on).transform(df)  # noqa: E731  neighbours need every coordinate
     if order == "reference":
+        coded = cut_lineage(filled(coded, coded))
         both = ba.split(cut_lineage(ba.balance(coded)), key=ba.row_key())
         return both.filter("in_train").drop("in_train"), both.filter("not in_train").drop("in_train")
     if order != "split_first":
         raise ValueError(f"unknown order {order!r}")
     parts = ba.split(coded)
-    train = cut_lineage(ba.balance(parts.filter("in_train").drop("in_train")))
+    learnt = parts.filter("in_train").drop("in_train")
+    train = cut_lineage(ba.balance(cut_lineage(filled(learnt, learnt))))
     test = parts.filter("not in_train").select(
         "id", F.lit(0).alias("copy"), *[F.col(f).cast("double").alias(f) for f in FEATURES], LABEL
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="gradpath-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # our own folder, of this run only
     sc.setCheckpointDir(configured)
     return configured
 
@@ -50,8 +53,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The result survives lost executors and has no past to recompute. A written table is
     computed once, where a checkpoint of the same rows runs its last stage twice. The
-    tables lie under ``steps-*`` and may be removed when the job has ended.
+    tables of an application lie in one folder, which ``forget_steps`` removes.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/steps-{uuid.uuid4().hex}"
+    path = f"{_steps(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _steps(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
+def forget_steps(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to cut lineage, when no DataFrame
+    that reads them is needed any more; for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from gradpath.functions.numbering import number_rows
 from gradpath.schema import CATALOGUE_COLUMNS, LABELLED_PROFILE, PROFILE_REQUEST
 
 
 def read_profiles(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Labelled profiles from CSV with a header, or from parquet."""
-    reader = spark.read.schema(LABELLED_PROFILE)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+    """(id, profile, label) from CSV with a header, or from parquet.
+
+    Columns are found by their name, in whatever order they stand; a value that is no number
+    becomes null. A file without ``id`` gets its line order.
+    """
+    raw = strip_header(spark.read.csv(path, header=True, inferSchema=False, escape='"') if fmt == "csv" else spark.read.format(fmt).load(path))
+    if "id" not in raw.columns:
+        raw = with_line_order(raw, "id")
+    typed = [F.col(f.name) if f.dataType == T.StringType() else F.col(f.name).cast("string").try_cast(f.dataType).alias(f.name) for f in LABELLED_PROFILE.fields]
+    return raw.select(F.col("id").cast("bigint").alias("id"), *typed)
 
 
 def strip_header(df: DataFrame) -> DataFrame:
@@ -33,22 +41,19 @@ def catalogue_columns(df: DataFrame) -> DataFrame:
     return df.select(F.col("row_id").cast("bigint").alias("row_id"), "job", "skills", "langs", "tools")
 
 
-def with_line_order(df: DataFrame) -> DataFrame:
-    """Add ``row_id``, the row's place in the file.
+def with_line_order(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """Add ``out``, the row's place: files by name, then lines in their order.
 
-    Input splits are read in file order, so the index of a row in its split plus the
-    sizes of the splits before it is its line number; Spark counts the splits, and no
-    rows pass through the driver.
+    Each row knows its file, where its split begins there and its place in the split.
     """
-    schema = T.StructType([T.StructField("row_id", T.LongType())] + df.schema.fields)
-    indexed = df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0]))
-    return df.sparkSession.createDataFrame(indexed, schema)
+    placed = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place"))
+    return number_rows(placed, F.col("_place"), out=out).drop("_place")
 
 
 def read_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Career catalogue; header names are stripped, all columns are text."""
     if fmt == "csv":
-        raw = strip_header(spark.read.csv(path, header=True, inferSchema=False))
+        raw = strip_header(spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True))
     else:
         raw = strip_header(spark.read.format(fmt).load(path))
     if "row_id" not in raw.columns:

@@ -28,6 +28,11 @@ def score_requests(requests: DataFrame, scorer: Scorer, gender: LabelDictionary,
     return with_bands(score(encode(valid, gender, stream), scorer)).select(*RESULT)
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """(id, violations) of the requests that ``score_requests`` doesn't answer; a stream of its own."""
+    return split_valid(requests)[1].select("id", "violations")
+
+
 def start(scored: DataFrame, out: str, checkpoint: str, continuous: bool = False) -> StreamingQuery:
     """Write to parquet; take what is there and stop, unless ``continuous``."""
     writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)

@@ -130,3 +130,47 @@ def test_statistics_come_from_the_training_rows(spark, tmp_path):
     assert [r["a"] for r in loaded.transform(other).collect()] == [2.0, 100.0]
     with pytest.raises(ValueError):
         MedianImputer(inputCols=["a"]).fit(train.filter("a is null"))
+
+
+def test_numbers_of_one_id_are_independent(spark):
+    df = spark.range(0, 20000).select(*[ba.unit("id", n).alias(n) for n in ("split", "fold", "lucky", "pick1", "along1", "pick2")])
+    names = df.columns
+    r = df.agg(*[F.corr(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[:i]], *[F.avg(n).alias(n) for n in names]).first().asDict()
+    assert all(abs(v) < 0.03 for k, v in r.items() if "_" in k)
+    assert all(abs(r[n] - 0.5) < 0.01 for n in names)
+
+
+def test_folds_of_the_training_rows_are_even(spark):
+    rows = spark.range(0, 20000).withColumn("copy", (F.col("id") % 3).cast("int"))
+    for key in ("id", ba.row_key()):
+        train = ba.split(rows, key=key).filter("in_train")
+        sizes = [r["count"] for r in ba.assign_folds(train, 5, key).groupBy("fold").count().collect()]
+        assert len(sizes) == 5 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_far_ids_and_their_copies(spark):
+    far = spark.createDataFrame([(10**18 + k * 2**33, c) for k in range(500) for c in (0, 1)], "id bigint, copy int")
+    u = [r["u"] for r in far.select(ba.unit(ba.row_key(), "split").alias("u")).collect()]
+    assert len(set(u)) == len(u) and 0.45 < sum(u) / len(u) < 0.55
+
+
+def test_missing_coordinates_are_refused(spark):
+    from gradpath.schema import FEATURES
+
+    row = {f: 1.0 for f in FEATURES}
+    df = spark.createDataFrame([(1, *row.values()), (2, None, *list(row.values())[1:])], "id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    with pytest.raises(ValueError):
+        ba.class_neighbours(df)
+
+
+def test_training_rows_with_gaps_are_balanced(spark):
+    from gradpath.plans.train import balanced_split
+    from gradpath.schema import FEATURES, LABEL
+
+    rows = [(i, 20 + i % 4 if i % 7 else None, i % 2, i % 3, i % 4, (i % 50) / 5 if i % 5 else None, 0, 1, int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{f} double" if f == "CGPA" else f"{f} int" for f in FEATURES) + f", {LABEL} int")
+    for order in ("split_first", "reference"):
+        train, test = balanced_split(df, order)
+        both = train if order == "split_first" else train.unionByName(test)
+        counts = [r["count"] for r in both.groupBy(LABEL).count().collect()]
+        assert len(counts) == 2 and counts[0] == counts[1]

@@ -151,3 +151,11 @@ def test_canonical_spelling(spark):
     chosen = spark.createDataFrame([(1, "Go")], "id bigint, skill string")
     got = {r["entry_id"]: r["skill"] for r in search.canonical_skills(typed, chosen, catalogue).collect()}
     assert got == {1: "SQL", 3: "Go"}  # entry 2 is chosen as typed, entry 3 is not
+
+
+def test_edge_order_holds_any_row_and_place(spark):
+    from gradpath.operators.graph import edge_order
+
+    rows = [(2**62, 5), (2**62, 2**31 - 1), (2**62 + 1, 0), (3, 2**21)]
+    got = spark.createDataFrame(rows, "ord_row bigint, ord_pos int").orderBy(edge_order()).collect()
+    assert [tuple(r) for r in got] == sorted(rows)

@@ -165,3 +165,34 @@ def test_plain_variant_scores_unusable_rows_zero(spark, bundle, profiles):
     df = spark.createDataFrame([(1, 20, "Male", "Civil", 2, 8.0, 1, 0), (2, 20, "Other", "Civil", 2, 8.0, 1, 0), (3, 20, "Male", "Civil", 2, None, 1, 0)], schema)
     got = {r["id"]: r["p"] for r in safe_score(df, model, bundle.gender, bundle.stream).collect()}
     assert got[1] > 0 and got[2] == 0.0 and got[3] == 0.0
+
+
+def test_a_bundle_explains_with_its_booster(bundle, profiles, spark, tmp_path):
+    tr.save_bundle(bundle, str(tmp_path / "b"))
+    again = tr.load_bundle(spark, str(tmp_path / "b"))
+    attribution = again.attribution()
+    margin = score(encode(profiles, again.gender, again.stream), again.booster).select("id", (F.log(F.col("p") / (1 - F.col("p"))) / 2).alias("m"))
+    for sign in ("additive", "reference"):
+        done = answers.explain(again.engine(), profiles, attribution, sign, k=None)
+        got = done.join(margin, "id").collect()
+        assert len(got) == profiles.count()
+        for r in got:
+            assert len(r["factors"]) == 7
+            total = r["base_value"] + sum(f["impact"] for f in r["factors"])
+            assert abs(total - r["prediction_value"]) < 2e-3
+            if sign == "additive":
+                assert abs(r["prediction_value"] - r["m"]) < 2e-3
+
+
+def test_from_csv_to_answers(spark, profiles, tmp_path):
+    from gradpath.sources import readers
+
+    profiles.drop("id").coalesce(1).write.csv(str(tmp_path / "p"), header=True)
+    read = readers.read_profiles(spark, str(tmp_path / "p"))
+    edges = spark.createDataFrame([("J", "T1", 0, 0), ("J", "T2", 0, 1)], EDGE)
+    tr.save_bundle(tr.train(read, edges, TINY), str(tmp_path / "m"))
+    again = tr.load_bundle(spark, str(tmp_path / "m"))
+    body = '{"id": 7, "Age": 22, "Gender": "Male", "Stream": "Civil", "Internships": 1, "CGPA": 7.1, "Hostel": 0, "HistoryOfBacklogs": 1, "skills": ["T1"], "desired_role": null}'
+    (tmp_path / "r.json").write_text(body + "\n")
+    got = answers.answer_all(again.engine(), readers.read_requests(spark, str(tmp_path / "r.json")), again.attribution()).collect()
+    assert len(got) == 1 and got[0]["recommended_job"] == "J" and got[0]["missing_skills"] == ["T2"] and got[0]["factors"] and got[0]["scenarios"]

@@ -207,3 +207,20 @@ def test_bands_of_the_demo_profile(spark, labels):
     row = with_bands(score(va.encode(df, *labels), ExpressionScorer())).first()
     margin = -7 + 0.05 * 3 + 0.9 + 0.8 * 7.5 - 0.2 - 0.7
     assert row["probability_percentage"] == pytest.approx(100 / (1 + math.exp(-margin)), abs=0.006)
+
+
+def test_dictionary_of_any_size_gives_the_same(spark):
+    names = [f"Stream {i:04}" for i in range(1201)] + ["Computer Science"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "id bigint, Stream string")
+    small, large = va.LabelDictionary.fit(df, "Stream", inline_limit=5000), va.LabelDictionary.fit(df, "Stream")
+    assert large.values is None and small.code_of_value("Computer Science") == large.code_of_value("Computer Science") == 0
+    assert large.code_of_value("none") is None
+    one, two = small.attach(df, "code"), large.attach(df, "code")
+    assert one.dtypes == two.dtypes
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_form_values_that_no_number_holds(spark):
+    df = spark.createDataFrame([(1, "21.5", "NaN", "x", " a ,　b ", ""), (2, "x", "1e12", "7.5", None, "r")], "id int, age_text string, internships_text string, cgpa_text string, skills_text string, role_text string")
+    got = [(r["Age"], r["Internships"], r["CGPA"], r["skills"]) for r in va.coerce_form(df).orderBy("id").collect()]
+    assert got == [(21, 0, 0.0, ["a", "b"]), (None, 0, 7.5, None)]

@@ -96,7 +96,7 @@ def test_report_defaults(spark):
 def test_profiles_from_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Age,Gender,Stream,Internships,CGPA,Hostel,HistoryOfBacklogs,PlacedOrNot\n21,Male,Civil,1,7.5,0,1,1\n")
     row = readers.read_profiles(spark, str(tmp_path / "p.csv")).first()
-    assert tuple(row) == (21, "Male", "Civil", 1, 7.5, 0, 1, 1)
+    assert tuple(row) == (0, 21, "Male", "Civil", 1, 7.5, 0, 1, 1)  # the line order stands in for an id
 
 
 def test_nested_json_round_trip(spark, tmp_path):
@@ -139,3 +139,56 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = st.score_requests(readers.with_request_defaults(spark.read.schema(PROFILE_REQUEST).json(str(source))), ExpressionScorer(), gender, stream)
     assert second == sorted(map(tuple, batch.collect()))
     assert len(first) == 5 and len(second) == 26  # ages below 15 and above 40 are rejected
+
+
+def test_profiles_by_header_name_and_in_file_order(spark, tmp_path):
+    head, tail = "PlacedOrNot,CGPA,Gender,Age,Stream,Internships,Hostel,HistoryOfBacklogs\n", "1,7.5,Male,21,\"Civil, \"\"new\"\"\",1,0,1\n"
+    (tmp_path / "b.csv").write_text(head + tail * 3)
+    (tmp_path / "a.csv").write_text(head + "0,x,Female,22,Civil,2,1,0\n" + tail * 40)
+    got = readers.read_profiles(spark, str(tmp_path)).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(44))
+    assert tuple(got[0]) == (0, 22, "Female", "Civil", 2, None, 1, 0, 0) and got[1]["Stream"] == 'Civil, "new"'
+
+
+def test_catalogue_with_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('Job roles,Skills ,Programming Languages,Tools\n"A, ""x""","s1,\ns2",p,t\nB,s3,,\n')
+    got = readers.read_catalogue(spark, str(tmp_path / "c.csv")).orderBy("row_id").collect()
+    assert [(r["row_id"], r["job"], r["skills"]) for r in got] == [(0, 'A, "x"', "s1,\ns2"), (1, "B", "s3")]
+
+
+def test_display_name_after_any_boundary(spark):
+    from gradpath.functions.text import feature_display
+
+    got = spark.createDataFrame([("max_score(raw)-value",)], "n string").select(feature_display(F.col("n"))).first()[0]
+    assert got == "Max Score(Raw)-Value"
+
+
+def test_requests_are_answered_or_rejected_with_reasons(spark):
+    from gradpath.operators.graph import SkillGraph
+    from gradpath.operators.scoring import ExpressionScorer
+    from gradpath.operators.validate import LabelDictionary
+    from gradpath.plans import answers
+
+    edges = spark.createDataFrame([("Dev", "Go", 0, 0), ("Dev", "SQL", 0, 1), ("Lead", "SQL", 1, 0)], "job string, skill string, ord_row bigint, ord_pos int")
+    engine = answers.Engine(ExpressionScorer(), LabelDictionary.of(spark, "Gender", ["Female", "Male"]), LabelDictionary.of(spark, "Stream", ["Civil", "Computer Science"]), SkillGraph.from_edges(edges))
+    rows = [(1, 21, "Male", "Civil", 1, 7.5, 0, 1, ["Go"], "Lead"), (2, 99, "Male", None, 1, 7.5, 0, 1, [], None), (3, 20, "Female", "Civil", 0, 6.0, 1, 0, [], None)]
+    requests = spark.createDataFrame(rows, "id bigint, Age int, Gender string, Stream string, Internships int, CGPA double, Hostel int, HistoryOfBacklogs int, skills array<string>, desired_role string")
+    from gradpath.operators.attribution import LinearAttribution
+
+    attribution = LinearAttribution.fit(ExpressionScorer(), engine.encode(requests))
+    got = {r["id"]: r for r in answers.answer_all(engine, requests, attribution).collect()}
+    assert got[2]["violations"] == ["Age above 40", "Stream missing"] and got[2]["scenarios"] is None
+    assert got[1]["recommended_job"] == "Dev" and got[1]["target_role"] == "Lead" and got[1]["violations"] == [] and len(got[1]["factors"]) == 5
+    assert got[3]["recommended_job"] is None and got[3]["scenarios"]
+    assert {r["id"] for r in answers.rejected(requests).collect()} == {2}
+
+
+def test_steps_are_forgotten(spark):
+    from pathlib import Path
+
+    from gradpath import session
+
+    kept = session.cut_lineage(spark.range(3))
+    assert kept.count() == 3
+    folder = Path(session._steps(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
