@@ -14,6 +14,7 @@ there is nothing to learn and every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,15 +101,19 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
     """A model from the labelled documents in ``labels`` (id, label), at most ``per_class`` of each class."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    totals = known.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(per_class[0]).unionByName(known.filter("toxic = 0").orderBy(*order).limit(per_class[1]))
     # at most sum(per_class) rows, so the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    dealt = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text").select("text", "toxic")
+    # another hash than the one they were chosen by, so that the classes come mixed to the end
+    dealt = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "_id"), "_id", "text").select("text", "toxic")
     got = dealt.mapInArrow(_train, "place int, weight double").toArrow()  # PLACES + 1 rows at most
     weights = np.zeros(PLACES + 1, np.float32)
     weights[np.asarray(got["place"])] = np.asarray(got["weight"])
-    return Model(weights[:PLACES], float(weights[PLACES]), got.num_rows > 0)
+    # the classes' shares in the sample aren't those of the labels; the bias makes up for it
+    taken = [min(n, most) / n if n else 1.0 for n, most in zip((totals["bad"], totals["good"]), per_class)]
+    return Model(weights[:PLACES], float(weights[PLACES]) - math.log(taken[0] / taken[1]), got.num_rows > 0)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
