@@ -7,6 +7,11 @@ band of its own. A window that holds the shingles of a template has a Jaccard si
 3/16 or more with it, so that all 64 bands miss with a chance below 2 in a million. What is
 found is checked on the shingles themselves: the share of the template's that are there.
 
+``scan`` returns all that reach the share; short notices reach it with their siblings'
+words too. ``named`` decides: what tells a template from its siblings (name, variant,
+version) has to be there whole, in one stretch of the window with the share; where such
+words of two licenses overlap the one with the larger share stays, then the longer one.
+
 Words are lower-cased (A-Z) and rid of punctuation, so notices wrapped in comments, in
 capitals or broken over lines count. Null and empty texts hold nothing. The templates are a
 parameter; the smallest minima of all (64 numbers each) are broadcast with the shingles.
@@ -40,8 +45,15 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -52,9 +64,26 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 ]
 
+# Names, variants and versions; a template needs those that its own text holds.
+TELLING = [
+    "MIT License", "Software is furnished to do so, subject to the following conditions", "Apache License, Version 2.0", "Mozilla Public License, v. 2.0",
+    "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License",
+    "Public License, version 2", "Public License, version 2.1", "Public License, version 3",
+    "version 2 of the License", "version 2.1 of the License", "version 3 of the License",
+    "CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC0 1.0",
+    "Creative Commons Attribution 4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NoDerivatives 4.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",
+]
+
 
 def prepare(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
     """(window step, name, shingles, minima) of each template; those with fewer than three words are left out."""
@@ -71,9 +100,74 @@ def prepare(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, np.nda
     return out
 
 
+def _places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Where a phrase begins among words, both as hashes."""
+    if len(words) < len(phrase):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(words, len(phrase)) == phrase).all(1))
+
+
+def needed(templates: Sequence[tuple[str, str]], telling: Sequence[str], contained: float) -> list[list[np.ndarray]]:
+    """The phrases that each template of ``prepare`` needs, as word hashes: those of ``telling`` in its
+    text; if there are none, its shingles that templates of other names lack though they reach the share."""
+    said = split(pa.array(telling, pa.large_string()), "plain", lower=True)
+    h = said.hashes()
+    phrases = [h[a:b] for a, b in zip(said.first[:-1], said.first[1:]) if b > a]
+    w = split(pa.array([t for _, t in templates], pa.large_string()), "plain", lower=True)
+    h = w.hashes()
+    texts = [(name, h[a:b]) for (name, _), a, b in zip(templates, w.first[:-1], w.first[1:]) if b - a >= SHINGLE]
+    shingles = [{tuple(v[i : i + SHINGLE].tolist()) for i in range(len(v) - SHINGLE + 1)} for _, v in texts]
+    out = []
+    for (name, v), own in zip(texts, shingles):
+        need = [p for p in phrases if len(_places(v, p))]
+        if not need:
+            lacking = [own - other for (n, _), other in zip(texts, shingles) if n != name and len(own & other) >= contained * len(own)]
+            need = [np.array(x, np.uint64) for x in sorted(set().union(*lacking))]
+        out.append(need)
+    return out
+
+
+def stretches(words: np.ndarray, g: np.ndarray, own: np.ndarray, need: list[np.ndarray], contained: float) -> list[list[tuple[int, int]]]:
+    """The shortest stretches of a window that hold the share of ``own`` and all that is needed; of each
+    the (begin, end) words of what is needed, or of the whole stretch if nothing is."""
+    at = np.flatnonzero(np.isin(g, own))
+    events = [(p, 0, k) for p, k in zip(at.tolist(), np.searchsorted(own, g[at]).tolist())]
+    events += [(p, 1, k) for k, phrase in enumerate(need) for p in _places(words, phrase).tolist()]
+    events.sort()
+    seen: dict[tuple[int, int], int] = {}
+    have, out, lo = [0, 0], [], 0
+    full = lambda: have[1] == len(need) and have[0] / len(own) >= contained
+    for hi, (_, kind, k) in enumerate(events):
+        have[kind] += not seen.get((kind, k))
+        seen[kind, k] = seen.get((kind, k), 0) + 1
+        if not full():
+            continue
+        while full():
+            last = events[lo]
+            seen[last[1:]] -= 1
+            have[last[1]] -= not seen[last[1:]]
+            lo += 1
+        inside = events[lo - 1 : hi + 1]
+        if need:
+            first = {k: p for p, kind, k in reversed(inside) if kind}
+            out.append([(p, p + len(need[k])) for k, p in first.items()])
+        else:
+            out.append([(inside[0][0], inside[-1][0] + SHINGLE)])
+    return out
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
     """(id, license, containment, at, windows): the licenses each document names, the best share of
     a template's shingles, where that window begins (in words) and how many windows reached the share."""
+    return _scan(docs, templates, id_col, text_col, contained, None)
+
+
+def named(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED, telling: Sequence[str] = TELLING) -> DataFrame:
+    """What ``scan`` gives, of the licenses that a document really names."""
+    return _scan(docs, templates, id_col, text_col, contained, needed(templates, telling, contained))
+
+
+def _scan(docs: DataFrame, templates: Sequence[tuple[str, str]], id_col: str, text_col: str, contained: float, need: list[list[np.ndarray]] | None) -> DataFrame:
     known = prepare(templates)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -81,7 +175,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ready = shared.value
         w = split(batch.column("text"), "plain", lower=True)
-        g, whole = windows(w.hashes(), w.first, SHINGLE)
+        h = w.hashes()
+        g, whole = windows(h, w.first, SHINGLE)
         g = g[whole]
         counts = np.maximum(w.counts - SHINGLE + 1, 0)  # shingles of each text
         first = np.concatenate(([0], np.cumsum(counts)))
@@ -113,7 +208,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
                 for b in hits.tolist():
                     for k in np.flatnonzero(wanted == low[b]).tolist():
                         found[which[k]].add(b)
-        out = []
+        out, cores = [], []
         for k, spots in found.items():
             if not spots:
                 continue
@@ -126,7 +221,20 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
                 there = g[lo : min(lo + 2 * s, first[d + 1])]
                 share = np.isin(own, there).mean()
                 if share >= contained:
-                    out.append((d, name, float(share), int(lo - first[d])))
+                    at = int(lo - first[d])
+                    if need is not None:
+                        words = h[w.first[d] + at : min(w.first[d] + at + 2 * s + SHINGLE - 1, w.first[d + 1])]
+                        cores += [(d, share, len(own), len(out), [(at + x, at + y) for x, y in core]) for core in stretches(words, there, own, need[k], contained)]
+                    out.append((d, name, float(share), at))
+        if need is not None:
+            # the best first; another license's words that overlap with what stays are not named
+            stay, kept = set(), {}
+            for d, _, _, n, core in sorted(cores, key=lambda c: (c[0], -c[1], -c[2], c[3])):
+                name = out[n][1]
+                if all(name == other or y <= x0 or y0 <= x for x, y in core for x0, y0, other in kept.get(d, ())):
+                    kept.setdefault(d, set()).update((x, y, name) for x, y in core)
+                    stay.add(n)
+            out = [out[n] for n in sorted(stay)]
         best: dict[tuple[int, str], list] = {}
         for d, name, share, at in out:
             got = best.setdefault((d, name), [share, at, set()])

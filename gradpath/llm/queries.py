@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_license_scan")
 def op1(spark: SparkSession, d: str) -> DataFrame:
     """The licenses that documents name."""
-    return licenses.scan(table(spark, d, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return licenses.named(table(spark, d, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query("op2_toxicity")

@@ -108,3 +108,40 @@ def test_nothing_to_look_for(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert tiling.leaks(documents([(1, "a b c d e")]), none).collect() == []
     assert tiling.clean(documents([]), none).collect() == []
+
+
+OTHERS = [
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    (None, "This work is licensed under the GNU Library General Public License, version 2."),
+    (None, "This work is licensed under the GNU General Public License, version 1."),
+    (None, "Licensed under the Apache License, Version 2.1."),
+    (None, licenses.TEMPLATES[3][1].replace(", subject to the following conditions:", '. THE SOFTWARE IS PROVIDED "AS IS"')),
+    (None, next(t for n, t in licenses.TEMPLATES if n == "MPL-2.0" and len(t) > 100).replace("2.0", "1.1")),
+]
+
+
+def test_each_notice_has_one_right_name_or_none(documents):
+    notices = [*licenses.TEMPLATES, *OTHERS]
+    pairs = [(i, f"{'some words before it ' * (i % 5)}{t} {'and after ' * (i % 3)}") for i, (_, t) in enumerate(notices)]
+    got = {}
+    for r in licenses.named(documents(pairs)).collect():
+        got.setdefault(r["id"], []).append(r["license"])
+    assert got == {i: [name] for i, (name, _) in enumerate(notices) if name}
+
+
+def test_all_of_several_notices_are_named(documents):
+    text = dict(reversed(licenses.TEMPLATES))
+    gpl = [next(t for n, t in licenses.TEMPLATES if n == f"GPL-{v}.0" and len(t) > 100) for v in (2, 3)]
+    pairs = [(1, " ".join(gpl)), (2, "Licensed under CC BY 4.0 and CC BY-SA 4.0."), (3, f"{text['MIT']} {text['CC-BY-NC-4.0']}"), (4, gpl[0].replace("This program", "This file")), (5, f"{gpl[0]} See version 3 of the License."), (6, "word " * 500 + gpl[1])]
+    got = sorted((r["id"], r["license"]) for r in licenses.named(documents(pairs)).collect())
+    assert got == [(1, "GPL-2.0"), (1, "GPL-3.0"), (2, "CC-BY-4.0"), (2, "CC-BY-SA-4.0"), (3, "CC-BY-NC-4.0"), (3, "MIT"), (4, "GPL-2.0"), (5, "GPL-2.0"), (6, "GPL-3.0")]
+
+
+def test_templates_without_telling_words(documents):
+    templates = [("one", "aa bb cc dd ee ff gg hh ii jj kk 1"), ("two", "aa bb cc dd ee ff gg hh ii jj kk 2")]
+    pairs = [(1, templates[0][1]), (2, templates[1][1]), (3, templates[0][1][:-1] + "3")]
+    assert sorted((r["id"], r["license"]) for r in licenses.named(documents(pairs), templates).collect()) == [(1, "one"), (2, "two")]
