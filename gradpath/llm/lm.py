@@ -2,15 +2,13 @@
 
 A text is coded as its words, lower-cased, each followed by a blank, and an end mark. The
 next byte is eight binary decisions; each has a context tree over the six bytes before it
-(bytes are read as 32 classes in contexts: letters, blank, start, other ASCII, three kinds
-of byte of other characters). Every node keeps a Krichevsky-Trofimov estimate, and a node's
-weighted probability is half its own plus half the product of its children's, so all depths
-are mixed; the mixture that the training counts give is what scores a byte.
+(whole bytes; before a text stand start marks, which are the end mark's byte). Every node
+keeps a Krichevsky-Trofimov estimate, and a node's probability is half its own plus half the product of its children's, so all depths are mixed; the mixture that the training counts give is what scores a byte.
 
 Counting is one pass that leaves a row for each (context, byte) and task. The tree is
-worked out from the leaves in groups by the last two context bytes, at most 1,024; the two
-levels above (1,056 contexts) are put together on the driver. All (context, byte) pairs of
-the corpus get their log-probability as a table. If it is small when measured it is
+worked out from the leaves in 1,024 groups by the last two context bytes, then by the last
+one; the root alone is put together on the driver, from 256 contexts at most. All
+(context, byte) pairs of the corpus get their log-probability as a table. If it is small when measured it is
 broadcast; else it is broadcast in blocks, one pass over the texts for each, and a text's
 partial sums are added up.
 
@@ -34,19 +32,21 @@ from gradpath.llm.words import Words, distinct, signed, split
 from gradpath.session import cut_lineage
 
 DEPTH = 6
-CLASS_BITS = 5
-START, BLANK, END = 27, 32, 10
+CLASS_BITS = 8
+START, BLANK, END = 10, 32, 10
 #: Words that are looked up in a broadcast, the most frequent ones.
 FREQUENT = 65_536
 #: (context, byte) pairs that are broadcast at once: 12 bytes each.
 BLOCK = 5_000_000
 #: Pairs that a counting task holds before it hands them on.
 HELD = 4_000_000
-#: Coded bytes that are looked up at once; their places take 22 bits beside the 38 of a pair.
+#: Coded bytes that are looked up at once.
 PLACES = 1 << 22
 
-_B = np.arange(256)
-CLASS = np.select([(_B >= 97) & (_B <= 122), _B == BLANK, _B == END, _B < 128, _B < 0xA0, _B < 0xC0], [_B - 97, 26, START, 28, 29, 30], 31).astype(np.int64)
+#: Groups that the tree is worked out in below the contexts of two bytes.
+GROUPS = 1024
+#: What a byte is in a context: itself.
+CLASS = np.arange(256)
 
 
 def layout(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def codes(w: Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     data, begins = layout(w, depth)
     kind = CLASS[data]
     code = data.astype(np.int64)
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 1):  # six bytes and the coded one take 56 bits
         code[d:] |= kind[:-d] << (8 + CLASS_BITS * (d - 1))
     doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     coded = np.arange(len(data)) - begins[doc] >= depth
@@ -177,33 +177,39 @@ def count_codes(docs: DataFrame, text: str, learn: str, depth: int = DEPTH) -> D
 
 def tree_chances(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, chance): log10 of the weighted chance of each (context, byte)."""
-    group = F.col("code").bitwiseAND((1 << (8 + 2 * CLASS_BITS)) - 1 - 255).alias("leaf")
-    dealt = counted.select("code", "n", group)
+    pair = F.col("code").bitwiseAND((1 << (8 + 2 * CLASS_BITS)) - 1 - 255)
+    dealt = counted.select("code", "n", F.pmod(F.xxhash64(pair), F.lit(GROUPS)).alias("part"))
+    schema = "node bigint, n0 double, n1 double, own double, w double"
 
     def lift(table: pa.Table) -> pa.Table:
         code, n = np.asarray(table["code"]), np.asarray(table["n"])
         if not (n > 0).any():
-            return pa.table({"node": pa.array([], pa.int64()), "n0": pa.array([], pa.float64()), "n1": pa.array([], pa.float64()), "w": pa.array([], pa.float64())})
-        keys, n0, n1, _, weighted = _levels(code, n, 2, depth)[2]
-        return pa.table({"node": keys, "n0": n0, "n1": n1, "w": weighted})
-
-    # at most 1,024 contexts x 255 decisions
-    got = dealt.groupBy("leaf").applyInArrow(lift, "node bigint, n0 double, n1 double, w double").toArrow().sort_by("node")
-    node, n0, n1, weighted = (np.asarray(got[c]) for c in ("node", "n0", "n1", "w"))
-    top, below = {}, (node, weighted)
-    for d in (1, 0):
-        parent = (node >> 8 & ((1 << CLASS_BITS * d) - 1)) << 8 | node & 255
-        keys, place = np.unique(parent, return_inverse=True)
+            return pa.table({c: pa.array([], pa.int64() if c == "node" else pa.float64()) for c in ("node", "n0", "n1", "own", "w")})
+        return pa.table(dict(zip(("node", "n0", "n1", "own", "w"), _levels(code, n, 2, depth)[2])))
+
+    def above(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, d: int) -> tuple:
+        order = np.argsort(node)
+        node, n0, n1, weighted = node[order], n0[order], n1[order], weighted[order]
+        keys, place = np.unique((node >> 8 & ((1 << CLASS_BITS * d) - 1)) << 8 | node & 255, return_inverse=True)
         z, o = np.bincount(place, n0, len(keys)), np.bincount(place, n1, len(keys))
-        w, own = _up(keys, z, o, below, d)
-        top[d], below = (keys, z, o, own, w), (keys, w)
+        w, own = _up(keys, z, o, (node, weighted), d)
+        return keys, z, o, own, w
+
+    def join(table: pa.Table) -> pa.Table:  # at most 256 contexts x 255 decisions
+        return pa.table(dict(zip(("node", "n0", "n1", "own", "w"), above(*(np.asarray(table[c]) for c in ("node", "n0", "n1", "w")), 1))))
+
+    lifted = dealt.groupBy("part").applyInArrow(lift, schema)
+    lifted = lifted.groupBy(F.shiftright("node", 8).bitwiseAND(255).alias("last")).applyInArrow(join, schema)
+    got = lifted.toArrow().sort_by("node")  # at most 256 contexts x 255 decisions
+    top = {1: tuple(np.asarray(got[c]) for c in ("node", "n0", "n1", "own", "w"))}
+    top[0] = above(*(top[1][k] for k in (0, 1, 2, 4)), 0)
     shared = counted.sparkSession.sparkContext.broadcast(top)
 
     def lower(table: pa.Table) -> pa.Table:
         code, n = np.asarray(table["code"]), np.asarray(table["n"])
         return pa.table({"code": code, "chance": _chances(code, _levels(code, n, 2, depth) | shared.value)})
 
-    return dealt.groupBy("leaf").applyInArrow(lower, "code bigint, chance double")
+    return dealt.groupBy("part").applyInArrow(lower, "code bigint, chance double")
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -222,8 +228,8 @@ def _code_sums(code: np.ndarray, doc: np.ndarray, n: int, model_code: np.ndarray
     total = np.zeros(n)
     for i in range(0, len(code) if len(model_code) else 0, PLACES):
         part = code[i : i + PLACES]
-        packed = np.sort(part << 22 | np.arange(len(part)))
-        key, place = packed >> 22, packed & (PLACES - 1)
+        place = np.argsort(part)
+        key = part[place]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         own = key[start]
         at = np.minimum(np.searchsorted(model_code, own), len(model_code) - 1)
@@ -265,6 +271,8 @@ def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndar
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs``."""
+    if not 2 <= depth <= DEPTH:
+        raise ValueError(f"contexts of 2 to {DEPTH} bytes fit a bigint with the coded one")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     rows = rows.withColumn("row", F.xxhash64("id", "text", F.col("text").isNull()))
     model = cut_lineage(tree_chances(cut_lineage(count_codes(rows, "text", "learn", depth)), depth))

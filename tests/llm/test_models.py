@@ -179,3 +179,18 @@ def test_codes_of_a_batch_do_not_cross_texts():
     for i, t in enumerate(["ab c", None, "d"]):
         one, _ = lm.codes(split(pa.array([t], pa.string()), "space", lower=True), 2)
         assert both[doc == i].tolist() == one.tolist()
+
+
+def test_lm_contexts_are_whole_bytes(spark, documents):
+    from gradpath.llm.words import split
+
+    code, _ = lm.codes(split(pa.array(["1a", "2a", "бa", "вa"]), "space", lower=True))
+    assert len(set(code[code & 255 == ord("a")].tolist())) == 4
+    rng = random.Random(8)
+    for follows in ({"1": "x", "2": "y", "3": "z", "4": "w"}, {"б": "д", "в": "е", "г": "ж", "ё": "э"}):
+        pairs = [(i, "".join(a + follows[a] for a in (rng.choice([*follows]) for _ in range(100)))) for i in range(40)]
+        got = lm.scores(documents(pairs), F.col("doc_id") < 30).filter("id >= 30").collect()
+        # two bits are drawn for each pair of characters; the second character is told by the first
+        assert all(-r["score"] / math.log10(2) < 260 for r in got)
+    with pytest.raises(ValueError):
+        lm.scores(documents(pairs), F.lit(True), depth=7)
