@@ -10,7 +10,8 @@ worked out from the leaves in 1,024 groups by the last two context bytes, then b
 one; the root alone is put together on the driver, from 256 contexts at most. All
 (context, byte) pairs of the corpus get their log-probability as a table. If it is small when measured it is
 broadcast; else it is broadcast in blocks, one pass over the texts for each, and a text's
-partial sums are added up.
+partial sums are added up. The sums of a block are written before the next is gathered, so
+the driver and the executors hold one block at a time.
 
 The base score counts words. The most frequent 65,536 words are broadcast and summed up in
 the text's own row; all others are joined by a shuffle on the word's 64-bit hash.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.llm.frames import pieces
@@ -238,10 +240,10 @@ def _code_sums(code: np.ndarray, doc: np.ndarray, n: int, model_code: np.ndarray
     return total
 
 
-def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndarray], frequent: tuple[np.ndarray, np.ndarray] | None, depth: int) -> DataFrame:
+def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndarray], frequent: tuple[np.ndarray, np.ndarray] | None, depth: int) -> tuple[DataFrame, Broadcast]:
     """(row, whole, h, n, known, base, score): a row with the sums of a text (whole; h is the row
     itself), and one for each word of it that isn't frequent. Without ``frequent`` only score
-    is worked out."""
+    is worked out. Comes with the broadcast that the rows are worked out from."""
     shared = docs.sparkSession.sparkContext.broadcast((model, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,7 @@ def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndar
             cols = [pa.array(np.concatenate((rows, extra[0]))), pa.array(whole), pa.array(np.concatenate((rows, extra[1]))), pa.array(np.concatenate((words, extra[2]))), pa.array(np.concatenate((known, np.zeros(len(none), np.int64)))), pa.array(np.concatenate((base, none))), pa.array(np.concatenate((score, none)))]
             yield pa.RecordBatch.from_arrays(cols, ["row", "whole", "h", "n", "known", "base", "score"])
 
-    return docs.select(key, text).mapInArrow(run, "row bigint, whole boolean, h bigint, n bigint, known bigint, base double, score double")
+    return docs.select(key, text).mapInArrow(run, "row bigint, whole boolean, h bigint, n bigint, known bigint, base double, score double"), shared
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
@@ -285,11 +287,20 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     top = words.orderBy(F.desc("n"), "h").limit(frequent).toArrow().sort_by("h")  # FREQUENT rows at most
     often = (np.asarray(top["h"]), np.log10((np.asarray(top["n"]) + 0.5) / (n_all + 0.5 * (kinds + 1))))
     blocks = max(1, -(-model.count() // block))
-    parts = None
-    for i in range(blocks):
-        got = model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == i).select("code", F.col("chance").cast("float")).toArrow().sort_by("code")
-        part = _sums(rows, "row", "text", (np.asarray(got["code"]), np.asarray(got["chance"])), often if i == 0 else None, depth)
-        parts = part if parts is None else parts.unionByName(part)
+
+    def passed(i: int, words: tuple[np.ndarray, np.ndarray] | None) -> tuple[DataFrame, Broadcast]:
+        part = model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == i).select("code", F.col("chance").cast("float"))
+        got = part.toArrow().sort_by("code")  # about ``block`` rows
+        return _sums(rows, "row", "text", (np.asarray(got["code"]), np.asarray(got["chance"])), words, depth)
+
+    written = []
+    for i in range(1, blocks):
+        part, shared = passed(i, None)
+        written.append(cut_lineage(part))
+        shared.destroy()
+    parts, _ = passed(0, often)
+    for part in written:
+        parts = parts.unionByName(part)
     # one pass: a text's own row goes along with its words and meets no count that is used
     met = parts.join(words.withColumnRenamed("n", "c"), "h", "left")
     count = F.coalesce("c", F.lit(0))

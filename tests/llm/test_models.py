@@ -194,3 +194,29 @@ def test_lm_contexts_are_whole_bytes(spark, documents):
         assert all(-r["score"] / math.log10(2) < 260 for r in got)
     with pytest.raises(ValueError):
         lm.scores(documents(pairs), F.lit(True), depth=7)
+
+
+def test_lm_holds_one_block_at_a_time(documents, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    held, most = [], []
+    make, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def made(self, value):
+        out = make(self, value)
+        if isinstance(value, tuple) and len(value) == 2:  # (block, frequent words)
+            held.append(out)
+            most.append(len(held))
+        return out
+
+    def gone(self, *a, **b):
+        held.remove(self)
+        return destroy(self, *a, **b)
+
+    monkeypatch.setattr(SparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    docs = documents([(i, f"the {i} cats and {i * 7} dogs") for i in range(20)])
+    got = lm.scores(docs, F.lit(True), block=100)
+    assert max(most) == 1 and len(most) > 2
+    whole = {r["id"]: r["score"] for r in lm.scores(docs, F.lit(True)).collect()}
+    assert {r["id"]: r["score"] for r in got.collect()} == pytest.approx(whole, rel=1e-9)
