@@ -7,6 +7,10 @@ a tile, a partly marked one goes back with what is still free of it, and so on u
 match of five words is left. The share of the item's words under tiles decides, so a
 passage is found in whatever order its parts stand.
 
+The rounds of running Karp-Rabin matching, from the longest length down, are replaced: all
+maximal matches are taken once from the seeds, a heap cuts them down, and hashes come from
+doubling instead of running along the text. The covered words are the same.
+
 Words are lower-cased (A-Z) and rid of punctuation. The benchmark is measured and cut into
 blocks of a bounded number of words; each block is broadcast and all documents pass by it.
 Items with equal words are one, under the smallest item_id. Items with fewer than five
