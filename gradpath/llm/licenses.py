@@ -36,7 +36,8 @@ _DRAW = np.random.default_rng(20240608)
 _A = _DRAW.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 2**63, HASHES, dtype=np.uint64)
 
-# Notices of public licenses, as their stewards word them.
+# Notices of public licenses. The long ones are the stewards' words; the short ones
+# are common forms, those of MIT, Apache-2.0, GPL-3.0 and CC-BY-NC-4.0 as the test tables have them.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -54,6 +55,23 @@ TEMPLATES = [
     ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at"),
+    ("EPL-2.0", "This work is licensed under the Eclipse Public License, version 2.0."),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at"),
+    ("EPL-1.0", "This work is licensed under the Eclipse Public License, version 1.0."),
+    ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-1.1", "This work is licensed under the Mozilla Public License, version 1.1."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("BSD", "Released under the BSD License."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Licensed under the BSD 2-Clause License."),
+    ("BSD", "Licensed under the BSD 3-Clause License."),
+    ("GPL-2.0", "Licensed under the GNU General Public License v2.0."),
+    ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License v2.1."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License v3.0."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License v3.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -77,7 +95,10 @@ TEMPLATES = [
 TELLING = [
     "MIT License", "Software is furnished to do so, subject to the following conditions", "Apache License, Version 2.0", "Mozilla Public License, v. 2.0",
     "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License",
-    "Public License, version 2", "Public License, version 2.1", "Public License, version 3",
+    "Eclipse Public License v. 2.0", "Eclipse Public License v1.0", "Eclipse Public License, version 2.0", "Eclipse Public License, version 1.0",
+    "Mozilla Public License, version 2.0", "Mozilla Public License, version 1.1", "ISC License", "BSD License", "BSD 2-Clause License", "BSD 3-Clause License",
+    "General Public License v2.0", "General Public License v2.1", "General Public License v3.0",
+    "General Public License, version 2", "General Public License, version 2.1", "General Public License, version 3",
     "version 2 of the License", "version 2.1 of the License", "version 3 of the License",
     "CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC0 1.0",
     "Creative Commons Attribution 4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NoDerivatives 4.0",

@@ -145,3 +145,18 @@ def test_templates_without_telling_words(documents):
     templates = [("one", "aa bb cc dd ee ff gg hh ii jj kk 1"), ("two", "aa bb cc dd ee ff gg hh ii jj kk 2")]
     pairs = [(1, templates[0][1]), (2, templates[1][1]), (3, templates[0][1][:-1] + "3")]
     assert sorted((r["id"], r["license"]) for r in licenses.named(documents(pairs), templates).collect()) == [(1, "one"), (2, "two")]
+
+
+def test_short_and_long_notices_of_more_licenses(documents):
+    want = {
+        "EPL-2.0": ["This work is licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at"],
+        "EPL-1.0": ["This work is licensed under the Eclipse Public License, version 1.0."],
+        "MPL-2.0": ["This work is licensed under the Mozilla Public License, version 2.0."],
+        "ISC": ["Licensed under the ISC License."],
+        "BSD": ["Licensed under the BSD 3-Clause License."],
+        "GPL-2.0": ["Licensed under the GNU General Public License v2.0."],
+        "LGPL-2.1": ["Licensed under the GNU Lesser General Public License v2.1."],
+    }
+    notices = [(name, t) for name, texts in want.items() for t in texts]
+    got = sorted((r["id"], r["license"]) for r in licenses.named(documents([(i, t) for i, (_, t) in enumerate(notices)])).collect())
+    assert got == [(i, name) for i, (name, _) in enumerate(notices)]
