@@ -55,17 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     computed once, where a checkpoint of the same rows runs its last stage twice. The
     tables of an application lie in one folder, which ``forget_steps`` removes.
     """
-    path = f"{_steps(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{steps_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _steps(spark: SparkSession) -> str:
+def steps_folder(spark: SparkSession) -> str:
+    """The shared folder that the tables of this application lie in."""
     return f"{ensure_checkpoint_dir(spark)}/steps-{spark.sparkContext.applicationId}"
 
 
-def forget_steps(spark: SparkSession) -> None:
+def forgetsteps_folder(spark: SparkSession) -> None:
     """Remove the tables that this application has written to cut lineage, when no DataFrame
     that reads them is needed any more; for the end of a job."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
