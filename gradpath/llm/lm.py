@@ -40,15 +40,15 @@ START, BLANK, END = 10, 32, 10
 FREQUENT = 65_536
 #: (context, byte) pairs that are broadcast at once: 12 bytes each.
 BLOCK = 5_000_000
-#: Pairs that a counting task holds before it hands them on.
-HELD = 4_000_000
+#: Text bytes that counting and scoring take at once: a coded byte takes some 60 bytes on the way.
+COUNTED, SCORED = 1 << 20, 2 << 20
+#: Pairs that a counting task holds before it hands them on; Spark sums them up before the shuffle.
+HELD = 500_000
 #: Coded bytes that are looked up at once.
 PLACES = 1 << 22
 
 #: Groups that the tree is worked out in below the contexts of two bytes.
 GROUPS = 1024
-#: What a byte is in a context: itself.
-CLASS = np.arange(256)
 
 
 def layout(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +67,16 @@ def layout(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def codes(w: Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(context and byte as one number for every coded byte, text it belongs to)."""
     data, begins = layout(w, depth)
-    kind = CLASS[data]
-    code = data.astype(np.int64)
+    sizes = np.diff(begins)
+    coded = np.ones(len(data), bool)
+    coded[(begins[:-1, None] + np.arange(depth)).ravel()] = False
+    place = np.flatnonzero(coded)
+    code = data[place].astype(np.int64)
     for d in range(1, depth + 1):  # six bytes and the coded one take 56 bits
-        code[d:] |= kind[:-d] << (8 + CLASS_BITS * (d - 1))
-    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    coded = np.arange(len(data)) - begins[doc] >= depth
-    return code[coded], doc[coded]
+        before = data[place - d].astype(np.int64)
+        before <<= 8 + CLASS_BITS * (d - 1)
+        code |= before
+    return code, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - depth)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -148,27 +151,25 @@ def count_codes(docs: DataFrame, text: str, learn: str, depth: int = DEPTH) -> D
     """(code, n, group): every (context, byte) of the texts, how often it occurs in those with ``learn``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([k for k, _ in held])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], np.concatenate([n for _, n in held])[order]
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            return key[start], np.add.reduceat(n, start)
-
-        for piece in pieces(batches, text):
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for piece in pieces(batches, text, COUNTED):
             code, doc = codes(split(piece.column(text), "space", lower=True), depth)
             learnt = np.asarray(piece.column(learn).fill_null(False).cast(pa.int8())).astype(bool)[doc]
             for part, weight in ((code[learnt], 1), (code[~learnt], 0)):
-                key, n = distinct(part)
-                held.append((key, n * weight))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield from emit(*held.pop())
-        if held:
-            yield from emit(*merged())
+                for i in range(0, len(part), HELD):
+                    more, times = distinct(part[i : i + HELD])
+                    key, n = merged(key, n, more, times * weight)
+                    if len(key) > HELD:
+                        yield from emit(key, n)
+                        key, n = key[:0], n[:0]
+        yield from emit(key, n)
+
+    def merged(key: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate((key, more)), np.concatenate((n, times))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+        return key[start], np.add.reduceat(n, start) if len(key) else n
 
     def emit(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(key), 100_000):
@@ -248,7 +249,7 @@ def _sums(docs: DataFrame, key: str, text: str, model: tuple[np.ndarray, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model_code, chance), often = shared.value
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, SCORED):
             w, n = split(piece.column(text), "space", lower=True), piece.num_rows
             score = _code_sums(*codes(w, depth), n, model_code, chance)
             rows = np.asarray(piece.column(key))

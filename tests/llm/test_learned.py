@@ -89,7 +89,7 @@ def words_of(text):
 
 def brute_lm(pairs, learn, depth):
     """Context-tree weighting written out: one recursion for each node."""
-    kind = lambda b: int(lm.CLASS[b])
+    kind = int
 
     def coded(text):
         data = b"".join(w + b" " for w in words_of(text)) + b"\n"

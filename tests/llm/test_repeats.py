@@ -45,9 +45,9 @@ def test_against_brute_force(documents, window):
 def test_levels_double_until_nothing_repeats(documents):
     words = [f"w{i}" for i in range(120)]
     docs = documents([(1, " ".join(words)), (2, "a " + " ".join(words[10:90])), (3, " ".join(words[50:])), (4, "z " * 5)])
-    found, copies = repeats.levels(docs.selectExpr("doc_id id", "text"), 13)
+    found, copies = repeats.levels(docs.selectExpr("doc_id row", "doc_id id", "text"), 13)
     assert sorted(found) == [13, 26, 52] and copies.count() == 0
-    got = {r["id"]: [tuple(x) for x in r["ranges"]] for r in found[52].collect()}
+    got = {r["row"]: [tuple(x) for x in r["ranges"]] for r in found[52].collect()}
     assert got == {1: [(10, 29), (50, 19)], 2: [(1, 29)], 3: [(0, 19)]}
 
 
@@ -56,3 +56,17 @@ def test_null_ids_and_empty(documents):
     got = repeats.strip_repeats(documents([(None, text), (5, text), (6, text), (6, text)])).collect()
     assert sorted((str(r["id"]), r["n_removed"]) for r in got) == [("5", 0), ("6", 20), ("6", 20), ("None", 0)]
     assert repeats.strip_repeats(documents([])).collect() == []
+
+
+def test_shared_ids_keep_their_own_words(documents):
+    one, two = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    pairs = [(1, one), (2, one + " x"), (2, two), (2, two), (3, two + " y"), (None, two), (None, one)]
+    got = repeats.strip_repeats(documents(pairs)).collect()
+    assert sorted((str(r["id"]), r["n_words"], r["n_removed"]) for r in got) == sorted(
+        [("1", 40, 0), ("2", 41, 40), ("2", 40, 0), ("2", 40, 0), ("3", 41, 40), ("None", 40, 0), ("None", 40, 0)])
+
+
+def test_one_very_long_text(documents):
+    base = [f"w{i % 700}x{i}" for i in range(700_000)]  # some 8 MB
+    got = repeats.strip_repeats(documents([(1, " ".join(base)), (2, " ".join(base[1000:200_000]) + " end")])).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 700_000, 0), (2, 199_001, 199_000)]
