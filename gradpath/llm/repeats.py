@@ -117,8 +117,9 @@ def windows_in(docs: DataFrame, length: int) -> DataFrame:
 def repeated(places: DataFrame, later: bool) -> DataFrame:
     """(row, ranges): the places whose key occurs under another id; with ``later`` only those
     under ids after the first."""
-    ends = places.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
-    found = places.join(ends, "key")
+    # written first, so that both sides of the join are dealt anew and Spark can split a common key
+    ends = cut_lineage(places.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo"))
+    found = places.join(ends.hint("merge"), "key")
     found = found.filter("id > lo") if later else found
     gathered = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("ranges"))
 
