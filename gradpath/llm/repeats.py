@@ -152,8 +152,8 @@ def levels(rows: DataFrame, window: int = WINDOW, until: int | None = None) -> t
     if window < 2:
         raise ValueError("a window has two words at least")
     marks = cut_lineage(fingerprints(rows))
-    first = marks.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    copies = cut_lineage(marks.join(first, ["f1", "f2", "n_words"]).filter("id > lo").select("row", "n_words"))
+    first = cut_lineage(marks.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"))
+    copies = cut_lineage(marks.join(first.hint("merge"), ["f1", "f2", "n_words"]).filter("id > lo").select("row", "n_words"))
     single = rows.join(copies.select("row").hint("merge"), "row", "left_anti")
     part = (window + 1) // 2
     found, out, length = cut_lineage(repeated(anchors(single, window, part), False)), {}, part
