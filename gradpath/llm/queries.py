@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradpath.llm import chat, exact, langid, licenses, lm, mixing, neardup, repeats, tiling, toxicity
+from gradpath.llm import chat, exact, langid, licenses, lm, merkle, mixing, neardup, repeats, tiling, toxicity
 from gradpath.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,50 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """The maximal conversations, rendered."""
     return chat.render(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+
+
+#: crc32 of a decimal number, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+LEAF = " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+RAISE = """select level + 1, tree, i // 2, sha256(string_agg(digest, '' order by i)), any_value((n + 1) // 2) from {0} where n > 1 group by level, tree, i // 2"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    with recursive d as materialized (select doc_id, lang, sha256({LEAF.format(n_chars="n_chars")}) as leaf,
+        sha256({LEAF.format(n_chars=f"(n_chars + case when {CRC32} % 7 = 0 then 1 else 0 end)")}) as seen from documents),
+    trees as materialized (select lang, row_number() over (order by lang nulls first) - 1 as tree, count(*) as n from documents group by lang),
+    leaves as materialized (select d.*, tree, n, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i
+        from d join trees on d.lang is not distinct from trees.lang),
+    lo(level, tree, i, digest, n) as (select 0::bigint, tree, i, leaf, n from leaves union all {RAISE.format("lo")}),
+    subroots as materialized (select tree, digest from lo where n = 1),
+    hi(level, tree, i, digest, n) as (select 0::bigint, -1::bigint, tree, digest, (select count(*) from subroots) from subroots union all {RAISE.format("hi")}),
+    ways as materialized (
+        select l.tree, l.i, p.level, s.i < p.i as before, s.digest from leaves l join lo p on p.tree = l.tree and p.n > 1 and p.i = l.i >> p.level
+        left join lo s on s.tree = l.tree and s.level = p.level and s.i = xor(p.i, 1)
+        union all
+        select l.tree, l.i, 1000 + p.level, s.i < p.i, s.digest from leaves l join hi p on p.n > 1 and p.i = l.tree >> p.level
+        left join hi s on s.level = p.level and s.i = xor(p.i, 1)),
+    lists as materialized (select tree, i, list({{'before': before, 'digest': digest}} order by level) as steps from ways group by tree, i),
+    fold(tree, i, k, acc, steps) as (select l.tree, l.i, 1::bigint, l.seen, coalesce(w.steps, []) from leaves l left join lists w using (tree, i) union all
+        select tree, i, k + 1, sha256(case when steps[k].before then steps[k].digest else '' end || acc || case when not steps[k].before then steps[k].digest else '' end), steps
+        from fold where k <= len(steps))
+    select l.doc_id, l.leaf, s.digest as subroot, r.digest as root,
+           sha256(coalesce(array_to_string(list_transform(w.steps, lambda x: coalesce(x.digest, '')), ''), '')) as proof_sha256, f.acc as folded_root, f.acc = r.digest as verified
+    from leaves l join subroots s using (tree) cross join (select digest from hi where n = 1) r left join lists w using (tree, i)
+    join fold f on f.tree = l.tree and f.i = l.i and f.k = len(f.steps) + 1
+    """,
+)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root that its leaf gives after some were tampered with."""
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    original = docs.withColumn("leaf", fields(F.col("n_chars"))).withColumn("seen", F.when(hit, fields(F.col("n_chars") + 1)).otherwise(F.col("leaf")))
+    found = merkle.proofs(merkle.manifest(original.select("doc_id", "lang", "leaf", "seen"), "lang", "doc_id", "leaf"))
+    root = merkle.folded(F.col("data.seen"), F.col("steps"))
+    got = found.select("data.doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), root.alias("folded_root"))
+    return got.withColumn("verified", F.col("folded_root") == F.col("root"))
