@@ -41,11 +41,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE) ->
             at = end
 
 
-def map_text(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``work`` on every slice of rows, in Arrow batches."""
+def map_text(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = PIECE) -> DataFrame:
+    """``work`` on every slice of rows, about ``limit`` bytes of text each, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, limit):
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out

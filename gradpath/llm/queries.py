@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradpath.llm import chat, exact, langid, licenses, lm, merkle, mixing, neardup, repeats, tiling, toxicity
+from gradpath.llm import chat, exact, langid, licenses, lm, merkle, mixing, neardup, repeats, simhash, tiling, toxicity, whitening
 from gradpath.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,12 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return chat.render(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding along the leading components of all embeddings."""
+    return whitening.whitened(table(spark, d, "embeddings", "vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
 #: crc32 of a decimal number, bit by bit.
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
     lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
@@ -194,3 +200,10 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
     root = merkle.folded(F.col("data.seen"), F.col("steps"))
     got = found.select("data.doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), root.alias("folded_root"))
     return got.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint of every document and the component of fingerprints close to it."""
+    got = simhash.near_duplicates(table(spark, d, "documents", "doc_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
