@@ -70,12 +70,10 @@ def codes(w: Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(begins)
     coded = np.ones(len(data), bool)
     coded[(begins[:-1, None] + np.arange(depth)).ravel()] = False
-    place = np.flatnonzero(coded)
-    code = data[place].astype(np.int64)
-    for d in range(1, depth + 1):  # six bytes and the coded one take 56 bits
-        before = data[place - d].astype(np.int64)
-        before <<= 8 + CLASS_BITS * (d - 1)
-        code |= before
+    padded = np.concatenate((np.zeros(7, np.uint8), data))
+    eight = np.ndarray(len(data), ">u8", padded, strides=(1,))  # the byte at each place and the seven before it
+    code = eight[coded].astype(np.int64)
+    code &= (1 << CLASS_BITS * (depth + 1)) - 1
     return code, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - depth)
 
 
@@ -151,24 +149,26 @@ def count_codes(docs: DataFrame, text: str, learn: str, depth: int = DEPTH) -> D
     """(code, n, group): every (context, byte) of the texts, how often it occurs in those with ``learn``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for piece in pieces(batches, text, COUNTED):
             code, doc = codes(split(piece.column(text), "space", lower=True), depth)
             learnt = np.asarray(piece.column(learn).fill_null(False).cast(pa.int8())).astype(bool)[doc]
             for part, weight in ((code[learnt], 1), (code[~learnt], 0)):
                 for i in range(0, len(part), HELD):
-                    more, times = distinct(part[i : i + HELD])
-                    key, n = merged(key, n, more, times * weight)
-                    if len(key) > HELD:
-                        yield from emit(key, n)
-                        key, n = key[:0], n[:0]
-        yield from emit(key, n)
-
-    def merged(key: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, n = np.concatenate((key, more)), np.concatenate((n, times))
+                    key, n = distinct(part[i : i + HELD])
+                    held.append((key, n * weight))
+                    if sum(len(k) for k, _ in held) > HELD:
+                        held = [merged(held)]
+                        if len(held[0][0]) > HELD // 2:
+                            yield from emit(*held.pop())
+        if held:
+            yield from emit(*merged(held))
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([k for k, _ in held])
         order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+        key, n = key[order], np.concatenate([n for _, n in held])[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
         return key[start], np.add.reduceat(n, start) if len(key) else n
 
     def emit(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
