@@ -1,29 +1,30 @@
 """The stacked classifier: three tree ensembles, out-of-fold columns, a logistic top.
 
-Every fit is a Spark ML job over the whole training table. Fits that do not depend on one
-another are submitted from a few threads, so the cluster is not idle between small stages.
+All ensembles of all folds are grown together (``growing``), and all changed copies of a
+profile go through all ensembles in one call on flat tree arrays.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
-from typing import Callable, Mapping
+from typing import Mapping
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.operators.attribution import factor_rows, signed
 from gradpath.operators.balance import assign_folds
+from gradpath.operators.growing import BINS, Fit, Learner, cut_points, grow
 from gradpath.operators.scale import MedianImputer, PopulationScaler
 from gradpath.operators.scoring import own_features
+from gradpath.operators.trees import Trees
 from gradpath.schema import FEATURES, LABEL
-
-VECTOR = "_x"
+from gradpath.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -37,27 +38,22 @@ class Settings:
     gradient_depth: int = 3
     booster_rate: float = 0.3
     booster_depth: int = 4
+    booster_l2: float = 1.0
+    booster_least: float = 1.0
     folds: int = 5
     seed: int = 42
-    threads: int = 4
+    bins: int = BINS
 
 
-def base_estimators(s: Settings) -> dict[str, Callable]:
-    """Builders of the three base learners, by name and in stacking order."""
-    common = dict(featuresCol=VECTOR, labelCol=LABEL, seed=s.seed)
+def learners(s: Settings) -> dict[str, Learner]:
+    """The three base learners, by name and in stacking order."""
     return {
-        "rf": lambda: RandomForestClassifier(numTrees=s.forest_trees, maxDepth=s.forest_depth, **common),
-        "gbc": lambda: GBTClassifier(maxIter=s.rounds, stepSize=s.gradient_rate, maxDepth=s.gradient_depth, **common),
-        "xgb": lambda: booster(s),
+        "rf": Learner("forest", s.forest_trees, s.forest_depth),
+        "gbc": Learner("gradient", s.rounds, s.gradient_depth, s.gradient_rate),
+        "xgb": Learner("newton", s.rounds, s.booster_depth, s.booster_rate, s.booster_l2, s.booster_least),
     }
 
 
-def booster(s: Settings) -> GBTClassifier:
-    return GBTClassifier(
-        maxIter=s.rounds, stepSize=s.booster_rate, maxDepth=s.booster_depth, featuresCol=VECTOR, labelCol=LABEL, seed=s.seed
-    )
-
-
 def fit_preprocessor(train: DataFrame, scale: bool = True) -> PipelineModel:
     """Imputer and scaler, fitted on training rows only."""
     stages = [MedianImputer(inputCols=FEATURES)]
@@ -77,71 +73,91 @@ def processed(preprocessor: PipelineModel, features: Mapping[str, Column]) -> Co
     return F.array(*values)
 
 
-def _together(spark: SparkSession, tasks: list[Callable], threads: int) -> list:
-    """Results of the tasks, run from a few threads that carry the session's job settings."""
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        running = [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]
-        return [r.result() for r in running]
+def training_rows(train: DataFrame, key: Column | str, preprocessor: PipelineModel) -> DataFrame:
+    """(key, y, fold, x) as trees are grown from, written once."""
+    key = F.col(key) if isinstance(key, str) else key
+    return cut_lineage(train.select(F.xxhash64(key.cast("string")).alias("key"), F.col(LABEL).alias("y"), "fold", processed(preprocessor, own_features()).alias("x")))
+
 
+def score_together(df: DataFrame, preprocessor: PipelineModel, variants: Mapping[str, Mapping[str, Column]], probability: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``df`` with a probability for each variant; the vectors of all variants of a batch of rows
+    are one matrix."""
+    width, features = len(variants), len(FEATURES)
 
-def class_one(model, df: DataFrame, vector: str, out: str) -> DataFrame:
-    """``df`` with the model's class-1 probability in ``out``."""
-    prob = f"_prob_{out}"
-    work = model.copy().setFeaturesCol(vector).setProbabilityCol(prob).setRawPredictionCol("").setPredictionCol("")
-    return work.transform(df).withColumn(out, vector_to_array(F.col(prob))[1]).drop(prob)
+    @F.arrow_udf("array<double>")
+    def run(vectors: pa.Array) -> pa.Array:
+        x = np.asarray(vectors.flatten(), dtype=float).reshape(-1, features)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, width, dtype=np.int32)), pa.array(probability(x)))
 
+    together = F.concat(*[processed(preprocessor, features) for features in variants.values()])
+    scored = df.withColumn("_scores", run(together))
+    return scored.withColumns({name: F.col("_scores")[i] for i, name in enumerate(variants)}).drop("_scores")
 
-def out_of_fold(train: DataFrame, s: Settings) -> DataFrame:
-    """``train`` (with ``fold``) plus one probability column per base learner, each from a
-    model that has not seen the row's fold."""
-    builders = base_estimators(s)
-    parts = []
-    tasks = [
-        (lambda b=b, k=k: b().fit(train.filter(F.col("fold") != k))) for k in range(s.folds) for b in builders.values()
-    ]
-    models = _together(train.sparkSession, tasks, s.threads)
-    for k in range(s.folds):
-        held = train.filter(F.col("fold") == k)
-        for j, name in enumerate(builders):
-            held = class_one(models[k * len(builders) + j], held, VECTOR, f"p_{name}")
-        parts.append(held)
-    return reduce(DataFrame.unionByName, parts)
+
+def out_of_fold(rows: DataFrame, names: list[str], by_fold: dict[int, list[Trees]]) -> DataFrame:
+    """(key, y, fold, one probability a learner, trained_on) for ``rows``: each row is scored once, by
+    the ensembles that have not seen its fold; ``trained_on`` is the number of rows they have seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column("x").flatten(), dtype=float).reshape(len(batch), -1)
+            fold = np.asarray(batch.column("fold"))
+            p, seen = np.zeros((len(names), len(fold))), np.zeros(len(fold), np.int64)
+            for k, ensembles in by_fold.items():
+                here = np.flatnonzero(fold == k)
+                for j, trees in enumerate(ensembles):
+                    p[j, here] = trees.probability(x[here])
+                seen[here] = ensembles[-1].rows[0, 0]
+            columns = [batch.column(c) for c in ("key", "y", "fold")] + [pa.array(c) for c in p] + [pa.array(seen)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "y", "fold", *(f"p_{n}" for n in names), "trained_on"])
+
+    schema = "key bigint, y int, fold int, " + ", ".join(f"p_{n} double" for n in names) + ", trained_on bigint"
+    return rows.select("key", F.col("y").cast("int").alias("y"), "fold", "x").mapInArrow(run, schema)
 
 
 @dataclass
 class StackedModel:
     preprocessor: PipelineModel
-    bases: dict
-    top: object
+    bases: dict[str, Trees]
+    top: LogisticRegressionModel
+
+    def probability(self) -> Callable[[np.ndarray], np.ndarray]:
+        bases, weights, intercept = list(self.bases.values()), np.array(self.top.coefficients.toArray()), float(self.top.intercept)
+
+        def run(x: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-(np.stack([b.probability(x) for b in bases], axis=1) @ weights + intercept)))
+
+        return run
 
     def score_many(self, df: DataFrame, variants: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-        for out, features in variants.items():
-            df = df.withColumn(VECTOR, array_to_vector(processed(self.preprocessor, features)))
-            for name, model in self.bases.items():
-                df = class_one(model, df, VECTOR, f"_b_{name}")
-            parts = [f"_b_{n}" for n in self.bases]
-            df = df.withColumn("_z", array_to_vector(F.array(*parts)))
-            df = class_one(self.top, df, "_z", out).drop(VECTOR, "_z", *parts)
-        return df
+        return score_together(df, self.preprocessor, variants, self.probability())
+
+
+@dataclass
+class FittedStack:
+    """A stack and what it was put together from."""
+
+    model: StackedModel
+    oof: DataFrame
 
 
-def fit_stack(train: DataFrame, key: Column | str, s: Settings = Settings(), preprocessor: PipelineModel | None = None) -> StackedModel:
+def fit_stack(train: DataFrame, key: Column | str, s: Settings = Settings(), preprocessor: PipelineModel | None = None) -> FittedStack:
     """Fit on rows of encoded features and label. ``key`` decides the fold of a row."""
     preprocessor = preprocessor or fit_preprocessor(train)
-    data = assign_folds(train, s.folds, key).select(
-        LABEL, "fold", array_to_vector(processed(preprocessor, own_features())).alias(VECTOR)
-    ).persist()
+    rows = training_rows(assign_folds(train, s.folds, key), key, preprocessor)
+    kinds = learners(s)
+    fits = [Fit(learner, held) for held in (None, *range(s.folds)) for learner in kinds.values()]
+    grown = grow(rows, cut_points(rows, "x", len(FEATURES), s.bins), fits, s.seed)
+    at = lambda k: grown[k * len(kinds) : (k + 1) * len(kinds)]
+    # written, so that the top's iterations don't score the rows again
+    oof = cut_lineage(out_of_fold(rows, list(kinds), {k: at(k + 1) for k in range(s.folds)}))
+    level = oof.select(F.col("y").alias(LABEL), array_to_vector(F.array(*[f"p_{b}" for b in kinds])).alias("_z")).persist()
     try:
-        n = data.count()
-        builders = base_estimators(s)
-        bases = dict(zip(builders, _together(data.sparkSession, [(lambda b=b: b().fit(data)) for b in builders.values()], s.threads)))
-        oof = out_of_fold(data, s)
-        level = oof.select(LABEL, array_to_vector(F.array(*[f"p_{b}" for b in builders])).alias("_z"))
         # unit penalty on the summed loss, as a share of the mean loss Spark minimises
-        top = LogisticRegression(featuresCol="_z", labelCol=LABEL, regParam=1.0 / n, standardization=False).fit(level)
+        top = LogisticRegression(featuresCol="_z", labelCol=LABEL, regParam=1.0 / level.count(), standardization=False).fit(level)
     finally:
-        data.unpersist()
-    return StackedModel(preprocessor, bases, top)
+        level.unpersist()
+    return FittedStack(StackedModel(preprocessor, dict(zip(kinds, at(0))), top), oof)
 
 
 @dataclass
@@ -152,13 +168,10 @@ class BoosterModel:
     """
 
     preprocessor: PipelineModel
-    model: object
+    model: Trees
 
     def score_many(self, df: DataFrame, variants: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-        for out, features in variants.items():
-            df = df.withColumn(VECTOR, array_to_vector(processed(self.preprocessor, features)))
-            df = class_one(self.model, df, VECTOR, out).drop(VECTOR)
-        return df
+        return score_together(df, self.preprocessor, variants, self.model.probability)
 
     def inputs(self) -> Column:
         return processed(self.preprocessor, own_features())
@@ -171,11 +184,8 @@ def earlier_settings(s: Settings = Settings()) -> Settings:
 
 def fit_booster(train: DataFrame, s: Settings = Settings(), preprocessor: PipelineModel | None = None, scale: bool = True) -> BoosterModel:
     preprocessor = preprocessor or fit_preprocessor(train, scale)
-    data = train.select(LABEL, array_to_vector(processed(preprocessor, own_features())).alias(VECTOR)).persist()
-    try:
-        return BoosterModel(preprocessor, booster(s).fit(data))
-    finally:
-        data.unpersist()
+    rows = training_rows(train.withColumn("fold", F.lit(-1)), F.col("id"), preprocessor)
+    return BoosterModel(preprocessor, grow(rows, cut_points(rows, "x", len(FEATURES), s.bins), [Fit(learners(s)["xgb"])], s.seed)[0])
 
 
 def safe_score(df: DataFrame, model: BoosterModel, gender, stream, out: str = "p") -> DataFrame:

@@ -12,19 +12,17 @@ function; rows are scored where they lie.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.operators.attribution import impact_array
+from gradpath.operators.trees import Trees
 from gradpath.schema import FEATURES
-from gradpath.session import ensure_checkpoint_dir
 
 CHUNK = 512  # rows per array expression, to bound a task's memory
 
@@ -112,28 +110,11 @@ class TreeAttribution:
     inputs: Callable[[], Column] | None = None  # the model's inputs from a profile's features
 
     @classmethod
-    def from_saved(cls, spark: SparkSession, path: str) -> "TreeAttribution":
-        """From a saved booster: its node table and tree weights (both bounded by the model)."""
-        # the columns of the metadata are told by place, their names differ between versions
-        metadata = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight")
-        weights = {r["treeID"]: r["weight"] for r in metadata.select("treeID", "weight").collect()}
-        trees: dict[int, dict[int, dict]] = {}
-        for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData").collect():
-            n = r["nodeData"]
-            trees.setdefault(r["treeID"], {})[n["id"]] = {
-                "prediction": n["prediction"], "cover": n["rawCount"], "left": n["leftChild"], "right": n["rightChild"],
-                "feature": n["split"]["featureIndex"],
-                "threshold": n["split"]["leftCategoriesOrThreshold"][0] if n["leftChild"] >= 0 else None,
-            }
-        leaves = [leaf for t, nodes in trees.items() for leaf in leaves_of(nodes, weights[t])]
+    def from_trees(cls, trees: Trees) -> "TreeAttribution":
+        """Of an ensemble's margin; what is absent is weighed by the cover of the nodes."""
+        leaves = [leaf for t in range(len(trees.feature)) for leaf in leaves_of(trees.nodes(t), 1.0)]
         groups, base = group_leaves(leaves)
-        return cls(groups, base)
-
-    @classmethod
-    def from_model(cls, spark: SparkSession, model: GBTClassificationModel) -> "TreeAttribution":
-        path = f"{ensure_checkpoint_dir(spark)}/booster-{uuid.uuid4().hex}"
-        model.write().save(path)
-        return cls.from_saved(spark, path)
+        return cls(groups, base + trees.start)
 
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` with ``impacts`` and ``base_value``; base plus impacts is the margin."""

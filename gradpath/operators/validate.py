@@ -124,6 +124,8 @@ class LabelDictionary:
 
     def code_of_value(self, value: str) -> int | None:
         """The code of one value, None if it is unknown."""
+        if self.values is not None:
+            return self.values.index(value) if value in self.values else None
         found = self.table.filter(F.col("value") == value).select("code").first()
         return None if found is None else int(found["code"])
 

@@ -5,12 +5,12 @@ from math import factorial
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gradpath.operators import balance as ba
 from gradpath.operators import treeshap as ts
-from gradpath.operators.models import VECTOR, Settings, fit_booster, out_of_fold, safe_score
+from gradpath.operators.growing import Fit, cut_points, grow
+from gradpath.operators.models import Settings, fit_booster, fit_preprocessor, fit_stack, learners, safe_score, training_rows
 from gradpath.operators.scoring import score
 from gradpath.operators.validate import encode
 from gradpath.plans import train as tr
@@ -62,13 +62,21 @@ def test_balancing_before_and_after_the_split(bundle, profiles):
 
 
 def test_out_of_fold_covers_every_row_once(bundle, profiles):
-    rows = ba.assign_folds(coded(bundle, profiles), TINY.folds)
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.select("id", LABEL, "fold", array_to_vector(bundle.booster.inputs()).alias(VECTOR)).cache()
-    oof = out_of_fold(data, TINY).collect()
-    assert sorted(r["id"] for r in oof) == sorted(r["id"] for r in data.collect())
-    assert all(0 <= r[c] <= 1 for r in oof for c in ("p_rf", "p_gbc", "p_xgb"))
+    """Each row once, with the chances that ensembles fitted without its fold alone give."""
+    rows = coded(bundle, profiles).withColumn("copy", F.lit(0))
+    fitted = fit_stack(rows, "id", TINY)
+    oof = {r["key"]: r for r in fitted.oof.collect()}
+    data = training_rows(ba.assign_folds(rows, TINY.folds), "id", fitted.model.preprocessor).collect()
+    assert fitted.oof.count() == len(data) == len(oof)
+    table = rows.sparkSession.createDataFrame(data)
+    cuts = cut_points(table, "x", len(FEATURES))
+    for fold in range(TINY.folds):
+        held = [r for r in data if r["fold"] == fold]
+        rest = table.filter(F.col("fold") != fold)
+        for name, learner in learners(TINY).items():
+            p = grow(rest, cuts, [Fit(learner)])[0].probability(np.array([r["x"] for r in held]))
+            assert [oof[r["key"]][f"p_{name}"] for r in held] == pytest.approx(list(p), abs=1e-12)
+        assert {oof[r["key"]]["trained_on"] for r in held} == {rest.count()}
 
 
 def test_bundle_round_trip(spark, bundle, profiles, tmp_path):
@@ -146,16 +154,56 @@ def test_shapley_equals_the_sum_over_all_coalitions():
             assert got[r, i] == pytest.approx(phi, abs=1e-12)
 
 
-def test_attribution_adds_up_to_the_margin(spark, bundle, profiles):
+def test_attribution_adds_up_to_the_margin(bundle, profiles):
     explainer = bundle.attribution()
-    rows = coded(bundle, profiles).withColumn("x", bundle.booster.inputs()).withColumn("phi", explainer.column(F.col("x")))
-    from pyspark.ml.functions import array_to_vector
-
-    model = bundle.booster.model.copy().setFeaturesCol("v")
-    out = model.transform(rows.withColumn("v", array_to_vector("x"))).select("phi", vector_to_array("rawPrediction")[1].alias("margin")).collect()
+    out = coded(bundle, profiles).withColumn("x", bundle.booster.inputs()).withColumn("phi", explainer.column(F.col("x"))).select("x", "phi").collect()
     assert len(out) == profiles.count()
-    for r in out:
-        assert explainer.base_value + sum(r["phi"]) == pytest.approx(r["margin"], abs=1e-9)
+    margins = bundle.booster.model.margin(np.array([r["x"] for r in out]))
+    for r, margin in zip(out, margins):
+        assert explainer.base_value + sum(r["phi"]) == pytest.approx(margin, abs=1e-9)
+
+
+def test_the_explainer_is_the_booster_fitted_alone(bundle, profiles):
+    rows, _ = tr.balanced_split(coded(bundle, profiles).select("id", *FEATURES, LABEL))
+    alone = fit_booster(rows, TINY, fit_preprocessor(rows)).model
+    assert np.array_equal(alone.feature, bundle.booster.model.feature) and np.array_equal(alone.value, bundle.booster.model.value)
+
+
+def test_many_variants_in_one_call_equal_one_by_one(bundle, profiles):
+    """A sweep of fifty points: each equals the changed row scored on its own."""
+    rows = coded(bundle, profiles).limit(40).cache()
+    own = {f: F.col(f) for f in FEATURES}
+    variants = {f"v{k}": {**own, "CGPA": F.lit(k / 5), "Internships": F.lit(k % 4)} for k in range(50)}
+    got = {r["id"]: r for r in bundle.stack.score_many(rows, variants).collect()}
+    for k in (0, 7, 23, 49):
+        changed = rows.withColumn("CGPA", F.lit(k / 5)).withColumn("Internships", F.lit(k % 4))
+        for r in score(changed, bundle.stack).collect():
+            assert got[r["id"]][f"v{k}"] == r["p"]
+
+
+def test_a_save_that_fails_leaves_the_old_version(spark, bundle, tmp_path, monkeypatch):
+    path = str(tmp_path / "b")
+    first = tr.save_bundle(bundle, path)
+    calls = []
+
+    def fail(df):
+        calls.append(df)
+        if len(calls) == 3:  # in the midst of the parts
+            raise RuntimeError("lost")
+        return 0, 0
+
+    with monkeypatch.context() as m:
+        m.setattr(tr, "_checksum", fail)
+        with pytest.raises(RuntimeError):
+            tr.save_bundle(tr.Bundle(bundle.stack, bundle.booster, bundle.gender, bundle.stream, bundle.edges, {"n": -1}), path)
+    assert tr.load_bundle(spark, path).report == bundle.report
+    second = tr.save_bundle(tr.Bundle(bundle.stack, bundle.booster, bundle.gender, bundle.stream, bundle.edges, {"n": -2}), path)
+    assert tr.load_bundle(spark, path).report == {"n": -2} and tr.load_bundle(spark, path, first).report == bundle.report
+    bundle.edges.limit(1).write.mode("append").parquet(f"{path}/{second}/edges")
+    with pytest.raises(ValueError, match="edges of the model bundle"):
+        tr.load_bundle(spark, path)
+    with pytest.raises(FileNotFoundError):
+        tr.load_bundle(spark, path, "v-unknown")
 
 
 def test_plain_variant_scores_unusable_rows_zero(spark, bundle, profiles):
@@ -171,7 +219,7 @@ def test_a_bundle_explains_with_its_booster(bundle, profiles, spark, tmp_path):
     tr.save_bundle(bundle, str(tmp_path / "b"))
     again = tr.load_bundle(spark, str(tmp_path / "b"))
     attribution = again.attribution()
-    margin = score(encode(profiles, again.gender, again.stream), again.booster).select("id", (F.log(F.col("p") / (1 - F.col("p"))) / 2).alias("m"))
+    margin = score(encode(profiles, again.gender, again.stream), again.booster).select("id", F.log(F.col("p") / (1 - F.col("p"))).alias("m"))
     for sign in ("additive", "reference"):
         done = answers.explain(again.engine(), profiles, attribution, sign, k=None)
         got = done.join(margin, "id").collect()
