@@ -63,16 +63,32 @@ def assessment_report(spark, d):
     return table.select("id", re_.assessment_report(table).alias("report"))
 
 
-@query("chat_history", with_views(
-    """select r.conv_id, r.turn, cast(r.run as bigint) run, count(h.turn) messages, coalesce(string_agg(h.role || ': ' || h.text, chr(10) order by h.turn), '') history
-    from runs r left join runs h on h.conv_id = r.conv_id and h.run between r.run - 5 and r.run - 1 group by r.conv_id, r.turn, r.run""",
-    "runs as (select *, count(*) filter (role = 'user') over (partition by conv_id order by turn) run from {conversations})"))
-def chat_history(spark, d):
-    done = re_.chat_history(load(spark, d, "conversations"))
+def _history_sql(source: str) -> str:
+    return with_views(
+        """select r.conv_id, r.turn, cast(r.run as bigint) run, count(h.turn) messages, coalesce(string_agg(h.role || ': ' || h.text, chr(10) order by h.turn), '') history
+        from runs r left join runs h on h.conv_id = r.conv_id and h.run between r.run - 5 and r.run - 1 group by r.place, r.conv_id, r.turn, r.run""",
+        f"placed as (select *, row_number() over () place from {source})",
+        """runs as (select *, count(*) filter (role = 'user') over (partition by conv_id order by turn) run from placed where conv_id is not null and turn is not null
+        union all select *, null from placed where conv_id is null or turn is null)""")
+
+
+def _history(messages):
+    done = re_.chat_history(messages)
     said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return done.select("conv_id", "turn", "run", F.size("history").cast("bigint").alias("messages"), F.array_join(said, "\n").alias("history"))
 
 
+@query("chat_history", _history_sql("{conversations}"))
+def chat_history(spark, d):
+    return _history(load(spark, d, "conversations"))
+
+
+@query("chat_history_gaps", _history_sql("{loose_messages}"))
+def chat_history_gaps(spark, d):
+    """The same where some messages lack their conversation or their turn."""
+    return _history(load(spark, d, "loose_messages"))
+
+
 @query("failed_replies", with_views(
     """select conv_id, turn, reply from {replies} where contains(reply, 'Connection error') or contains(reply, '404')
     or contains(reply, 'Unknown model error') or lower(status) = 'error'"""))

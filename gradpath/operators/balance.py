@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gradpath.functions.numeric import unit
 from gradpath.operators.knn import nearest
 from gradpath.schema import FEATURES, LABEL
+from gradpath.session import cut_lineage
 
 NEIGHBOURS = 5  # Fixed value: neighbours considered per donor.
 GRID = ["Age", "CGPA", "Stream"]
@@ -99,6 +100,7 @@ def synthetic_rows(members: DataFrame, quota: int, k: int = NEIGHBOURS) -> DataF
 def balance(df: DataFrame, k: int = NEIGHBOURS, label: str = LABEL) -> DataFrame:
     """(id, copy, features, label): the rows (copy 0) and the new ones that bring every
     class to the size of the largest."""
+    df = cut_lineage(df.select("id", *FEATURES, label))  # read by the quota, the search and the donors
     quotas = class_quota(df, label).collect()  # one row per class
     originals = df.select("id", F.lit(0).alias("copy"), *[F.col(f).cast("double").alias(f) for f in FEATURES], label)
     parts = [originals]

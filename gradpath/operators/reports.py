@@ -131,9 +131,12 @@ def chat_history(messages: DataFrame, runs: int = HISTORY_RUNS) -> DataFrame:
     runs, as an array of (turn, role, text) in order.
 
     Runs are gathered once and met by an equality join on (conversation, run), so a long
-    conversation is neither gathered as a whole nor held by one task.
+    conversation is neither gathered as a whole nor held by one task. A message without a
+    conversation or without a turn has no place in one: it comes back without a run and
+    without history, counts in nobody's run and is nobody's context.
     """
-    numbered = with_runs(messages)
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    numbered = with_runs(messages.filter(placed))
     # the last run of a conversation is nobody's context and is not gathered
     last = numbered.groupBy("conv_id").agg(F.max("run").alias("_last"))
     earlier = numbered.join(last, "conv_id").filter(F.col("run") < F.col("_last"))
@@ -141,9 +144,10 @@ def chat_history(messages: DataFrame, runs: int = HISTORY_RUNS) -> DataFrame:
     # context is the same for all messages of a run, so it is put together once per run
     reach = bundles.select("conv_id", F.explode(F.sequence(F.col("run") + 1, F.col("run") + runs)).alias("run"), "said")
     context = reach.groupBy("conv_id", "run").agg(F.array_sort(F.flatten(F.collect_list("said"))).alias("history"))
-    return numbered.select("conv_id", "turn", "run").join(context, ["conv_id", "run"], "left").select(
-        "conv_id", "turn", "run", F.coalesce("history", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")).alias("history")
-    )
+    none = F.array().cast(context.schema["history"].dataType)
+    met = numbered.select("conv_id", "turn", "run").join(context, ["conv_id", "run"], "left")
+    loose = messages.filter(~placed).select("conv_id", "turn", F.lit(None).cast("bigint").alias("run"), none.alias("history"))
+    return met.select("conv_id", "turn", "run", F.coalesce("history", none).alias("history")).unionByName(loose)
 
 
 def arrival_lines(requests: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def balanced_split(coded: DataFrame, order: str = "split_first") -> tuple[DataFr
         raise ValueError(f"unknown order {order!r}")
     parts = ba.split(coded)
     learnt = parts.filter("in_train").drop("in_train")
-    train = cut_lineage(ba.balance(cut_lineage(filled(learnt, learnt))))
+    train = cut_lineage(ba.balance(filled(learnt, learnt)))
     test = parts.filter("not in_train").select(
         "id", F.lit(0).alias("copy"), *[F.col(f).cast("double").alias(f) for f in FEATURES], LABEL
     )

@@ -54,6 +54,9 @@ select p_partkey row_id, concat(p_brand, ' ', p_type) job,
   case when p_partkey % 17 <> 0 then concat('L', p_size % 20) end langs,
   case when p_partkey % 5 <> 0 then concat('T', p_size) end tools
 from {part}""",
+    # messages of which some lack their conversation or their turn
+    "loose_messages": """
+select case when (conv_id + turn) % 11 = 3 then null else conv_id end conv_id, case when (conv_id + 3 * turn) % 13 = 2 then null else turn end turn, role, text from {conversations}""",
     # null, empty or a role name
     "desired": """
 select c_custkey id, case when c_custkey % 3 = 0 then null

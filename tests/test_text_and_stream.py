@@ -190,5 +190,12 @@ def test_steps_are_forgotten(spark):
 
     kept = session.cut_lineage(spark.range(3))
     assert kept.count() == 3
-    folder = Path(session._steps(spark).removeprefix("file:"))
+    folder = Path(session.steps_folder(spark).removeprefix("file:"))
     assert any(folder.iterdir())
+
+
+def test_messages_without_a_place_come_back(spark):
+    rows = [(1, 0, "user", "a"), (1, None, "user", "lost"), (None, 3, "user", "stray"), (None, None, "user", "x"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (None, 3, "user", "stray")]
+    got = rp.chat_history(spark.createDataFrame(rows, MESSAGE)).collect()
+    assert sorted(((r["conv_id"], r["turn"], r["run"], len(r["history"])) for r in got), key=str) == sorted(
+        [(1, 0, 1, 0), (1, 1, 1, 0), (1, 2, 2, 2), (1, None, None, 0), (None, 3, None, 0), (None, 3, None, 0), (None, None, None, 0)], key=str)
