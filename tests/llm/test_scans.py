@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gradpath.llm import licenses, tiling
@@ -85,10 +86,10 @@ def test_tiling_against_brute_force(spark, documents, block_words):
         pairs.append((10 + i, " ".join([f"u{rng.randint(0, 30)}" for _ in range(rng.randint(0, 30))] + v)))
     got = {(r["id"], r["item_id"]): r["matched"] for r in tiling.leaks(documents(pairs), spark.createDataFrame(items, "item_id bigint, text string"), block_words=block_words).collect()}
     want = {}
-    for k, t in items[:14]:
+    for k, t in items:
         a = plain(t)
         for i, text in pairs:
-            n = brute_tiles(a, plain(text), 5) if len(a) >= 5 else 0
+            n = brute_tiles(a, plain(text), 5) if len(a) >= 5 else len(a) * any(plain(text)[p : p + len(a)] == a for p in range(len(plain(text))))
             if a and n >= 0.5 * len(a) and n:
                 want[(i, k)] = n
     assert got == want and len(want) > 15
@@ -104,6 +105,32 @@ def test_reordered_passage_is_found_and_clean_stays(spark, documents):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4", "None"]
 
 
+def test_short_items_and_items_with_equal_words(spark, documents):
+    bench = spark.createDataFrame([(1, "Forty two"), (2, "paris"), (3, "forty, TWO!"), (4, "a b c d e f g"), (5, "A b c d e f g"), (None, "paris"), (6, "")], "item_id bigint, text string")
+    docs = documents([(1, "it is forty two."), (2, "forty of two"), (3, "Paris paris"), (4, "x a b c d e f g"), (5, "nothing")])
+    got = sorted(((r["id"], r["item_id"], r["matched"], r["tiles"]) for r in tiling.leaks(docs, bench, block_words=3).collect()), key=str)
+    assert got == sorted([(1, 1, 2, 1), (1, 3, 2, 1), (3, 2, 1, 1), (3, None, 1, 1), (4, 4, 7, 1), (4, 5, 7, 1)], key=str)
+    assert sorted(r["doc_id"] for r in tiling.clean(docs, bench).collect()) == [1, 2, 3, 5]
+    assert sorted(r["doc_id"] for r in tiling.clean(docs, bench, short=True).collect()) == [2, 5]
+
+
+def test_running_hashes_are_those_of_the_windows():
+    words = np.random.default_rng(1).integers(0, 2**63, 40).astype(np.uint64)
+    run = tiling.Running(words)
+    for size in (1, 5, 39, 40):
+        want = [sum(int(x) * pow(int(tiling._P), k, 2**64) for k, x in enumerate(words[p : p + size])) % 2**64 for p in range(41 - size)]
+        assert run.windows(size).tolist() == want
+    assert len(run.windows(41)) == 0
+
+
+def test_a_very_long_text_and_a_repeated_line(spark, documents):
+    line = "one two three four five six seven"
+    bench = spark.createDataFrame([(1, line), (2, " ".join(f"w{i}" for i in range(50)))], "item_id bigint, text string")
+    docs = documents([(1, (line + " ") * 230_000), (2, "x " * 4_000_000 + " ".join(f"w{i}" for i in range(10, 50)))])
+    got = sorted((r["id"], r["item_id"], r["matched"]) for r in tiling.leaks(docs, bench).collect())
+    assert got == [(1, 1, 7), (2, 2, 40)]
+
+
 def test_nothing_to_look_for(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert tiling.leaks(documents([(1, "a b c d e")]), none).collect() == []
