@@ -6,9 +6,10 @@ and text. A conversation whose whole fingerprint is a proper prefix of another i
 by an anti-join; of equal conversations the smallest conv_id stays. The rest are rendered.
 
 Turns are ordered by (turn, role, text), nulls first; rows that agree in all are one turn.
-Null roles and texts count as empty, and null is a conv_id like any other. Long
-conversations are numbered by blocks of turns and rendered in segments of a fixed number
-of turns, so none has to fit a task; a conversation's segments in order are its text.
+Null roles and texts count as empty, and null is a conv_id like any other. Rows are numbered
+by ranges of that order and counted by blocks of a fixed number of them, so neither a long
+conversation nor many rows without a turn have to fit a task. Conversations are rendered in
+segments of a fixed number of turns; a conversation's segments in order are its text.
 Two prefixes are taken as equal when 124 bits of hash agree. Everything is DataFrame code.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gradpath.functions.numbering import number_rows
 from gradpath.session import cut_lineage
 
 BLOCK = 1024
@@ -29,14 +31,15 @@ def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, k, n, role, text, s1..s4): turn k of n, and the fingerprint of turns 1 to k."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text")).distinct()
-    rows = rows.withColumn("b", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))))
+    order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
+    rows = number_rows(rows, *order, out="place").withColumn("b", F.floor(F.col("place") / block))
     within = Window.partitionBy("conv_id", "b")
     blocks = Window.partitionBy("conv_id").orderBy("b")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "b").agg(F.count("*").alias("c"))
     counts = counts.select(F.col("conv_id").alias("_c"), F.col("b").alias("_b"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("conv_id")).alias("n"))
     same = rows["conv_id"].eqNullSafe(F.col("_c")) & (rows["b"] == F.col("_b"))
-    ranked = rows.join(counts, same).drop("_c", "_b").withColumn("k", F.col("before") + F.row_number().over(within.orderBy("turn", "role", "text"))).drop("before")
+    ranked = rows.join(counts, same).drop("_c", "_b").withColumn("k", F.col("before") + F.row_number().over(within.orderBy("place"))).drop("before", "place")
     low = F.lit((1 << 31) - 1).cast("bigint")
     one, two = F.xxhash64(F.lit(1), "k", "role", "text"), F.xxhash64(F.lit(2), "text", "k", "role")
     hashed = ranked.withColumns({"s1": F.shiftrightunsigned(one, 33), "s2": one.bitwiseAND(low), "s3": F.shiftrightunsigned(two, 33), "s4": two.bitwiseAND(low)})

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.functions.sizing import broadcast_if_small
-from gradpath.llm.frames import SMALL
+from gradpath.llm.frames import SMALL, unused
 from gradpath.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,14 +111,15 @@ def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with one row of each distinct text, the one with the largest id; of rows that
     also share the id, any one."""
     found = cut_lineage(duplicates(docs, id_col, text_col).select("id", "keep_id", "key", "sha256"))
-    gone = found.filter(~F.equal_null("id", "keep_id")).select("id", "sha256").distinct()
-    sha = F.sha2(normal(F.col(text_col)).cast("binary"), 256)
-    gone = broadcast_if_small(gone.select(F.col("id").alias("_id"), F.col("sha256").alias("_sha")), SMALL)
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    an_id, a_sha, own_sha = unused(docs, "id", "sha", "own_sha")
+    named = lambda df: broadcast_if_small(df.select(F.col("id").alias(an_id), F.col("sha256").alias(a_sha)), SMALL)
+    sha = F.sha2(normal(docs[text_col]).cast("binary"), 256)
+    same = docs[id_col].eqNullSafe(F.col(an_id)) & (sha == F.col(a_sha))
+    kept = docs.join(named(found.filter(~F.equal_null("id", "keep_id")).select("id", "sha256").distinct()), same, "left_anti")
     repeated = found.filter(F.equal_null("id", "keep_id")).groupBy("id", "sha256").agg(F.count("*").alias("rows")).filter("rows > 1")
     if repeated.isEmpty():
         return kept
-    again = broadcast_if_small(cut_lineage(repeated.select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"))), SMALL)
-    same = kept[id_col].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    marked = kept.join(again, same, "left_semi").withColumn("_sha_one", sha)
-    return kept.join(again, same, "left_anti").unionByName(marked.dropDuplicates([id_col, "_sha_one"]).drop("_sha_one"))
+    again = named(cut_lineage(repeated))
+    same = kept[id_col].eqNullSafe(F.col(an_id)) & (F.sha2(normal(kept[text_col]).cast("binary"), 256) == F.col(a_sha))
+    marked = kept.join(again, same, "left_semi").withColumn(own_sha, F.sha2(normal(F.col(text_col)).cast("binary"), 256))
+    return kept.join(again, same, "left_anti").unionByName(marked.dropDuplicates([id_col, own_sha]).drop(own_sha))

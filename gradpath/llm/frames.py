@@ -53,7 +53,20 @@ def map_text(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``df`` has no column of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(df: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
     """The rows of ``df`` whose ``key`` isn't in the one column of ``dropped``; null keys stay."""
-    gone = broadcast_if_small(dropped.toDF("_gone").distinct(), SMALL)
-    return df.join(gone, key == F.col("_gone"), "left_anti")
+    (name,) = unused(df, "gone")
+    gone = broadcast_if_small(dropped.toDF(name).distinct(), SMALL)
+    return df.join(gone, key == F.col(name), "left_anti")

@@ -17,11 +17,11 @@ reruns agree. Everything is DataFrame code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradpath.functions.numbering import number_rows
 from gradpath.functions.sizing import broadcast_if_small
-from gradpath.llm.frames import SMALL
+from gradpath.llm.frames import SMALL, unused
 from gradpath.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -165,22 +165,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, and the columns copy (from 1),
-    source_words and source_target."""
+    source_words and source_target, which replace columns of these names."""
     plan = cut_lineage(mix(docs, id_col, text_col, source_col, **options).filter("copies > 0"))
+    an_id, a_source, a_size, all_copies, words, target, row, taken, copy = unused(docs, "id", "of", "size", "copies", "words", "target", "row", "taken", "copy")
     # rows that agree in id, source and size take their copies together
-    plan = plan.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.array_sort(F.collect_list("copies")).alias("_copies"), F.first("source_size").alias("source_words"), F.first("target").alias("source_target"))
+    plan = plan.groupBy(F.col("id").alias(an_id), F.col("source").alias(a_source), F.col("size").alias(a_size)).agg(
+        F.array_sort(F.collect_list("copies")).alias(all_copies), F.first("source_size").alias(words), F.first("target").alias(target))
     plan = cut_lineage(plan)
-    same = docs[id_col].eqNullSafe(F.col("_id")) & docs[source_col].eqNullSafe(F.col("_source")) & (word_count(docs[text_col]) == F.col("_size"))
+    same = docs[id_col].eqNullSafe(F.col(an_id)) & docs[source_col].eqNullSafe(F.col(a_source)) & (word_count(docs[text_col]) == F.col(a_size))
     joined = docs.join(broadcast_if_small(plan, SMALL), same)
-    several = F.size("_copies") > 1
+    several = F.size(all_copies) > 1
     if plan.filter(several).isEmpty():
-        copies = F.col("_copies")[0]
+        copies = F.col(all_copies)[0]
     else:
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col)))
-        joined = joined.withColumn("_row", place)
-        copies = F.coalesce(F.get(F.reverse("_copies"), F.col("_row") - 1), F.lit(0))
-    copied = joined.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return copied.select(*[copied[c] for c in docs.columns], "copy", "source_words", "source_target")
+        place = F.row_number().over(Window.partitionBy(an_id, a_source, a_size).orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
+        joined = joined.withColumn(row, place)
+        copies = F.coalesce(F.get(F.reverse(all_copies), F.col(row) - 1), F.lit(0))
+    copied = joined.withColumn(taken, copies).filter(F.col(taken) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(taken))))
+    new = {"copy": copy, "source_words": words, "source_target": target}
+    return copied.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], *[F.col(c).alias(name) for name, c in new.items()])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradpath.functions.sizing import broadcast_if_small
 from gradpath.llm.components import components
-from gradpath.llm.frames import SMALL, map_text, without
+from gradpath.llm.frames import SMALL, map_text, unused, without
 from gradpath.llm.words import mix, signed, split, windows
 from gradpath.session import cut_lineage
 
@@ -199,5 +199,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = found.filter("kept and n_shingles > 0 and id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.toDF("_id"), F.col(id_col) == F.col("_id"), "left_semi")
+    (name,) = unused(docs, "id")
+    again = kept.join(repeated.toDF(name), kept[id_col] == F.col(name), "left_semi")
     return without(kept, repeated, kept[id_col]).unionByName(again.dropDuplicates([id_col, text_col]))

@@ -36,3 +36,12 @@ def test_against_brute_force(spark, segment, block):
 
 def test_empty(spark):
     assert chat.render(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
+
+
+def test_many_rows_under_one_turn_or_none(spark):
+    data = [(1, None, "user", f"t{k % 50}x{k}") for k in range(200)] + [(None, 3, "user", f"n{k}") for k in range(150)] + [(2, 0, "user", "a")]
+    got = chat.render(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string"), 40, 32).collect()
+    texts = {}
+    for r in sorted(got, key=lambda r: r["segment"]):
+        texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["text"]
+    assert texts == {c: v[0] for c, v in brute(data).items()}

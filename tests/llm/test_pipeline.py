@@ -75,3 +75,23 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHING = ["id", "ID_", "gone", "sha", "own_sha", "of", "size", "copies", "words", "target", "row", "taken", "_id", "_gone", "_sha", "_source", "_size", "_copies", "_n",
+            "_row", "h", "n", "s", "keep_id", "key", "norm", "rep", "component", "kept", "n_shingles", "class", "item_id", "score", "toxic", "place", "f1", "bands", "fp", "a", "b"]
+
+
+def test_stages_with_clashing_columns(spark, tables):
+    """Extra columns of any internal name change nothing and come through as they are."""
+    d, _, _ = tables
+    plain = spark.read.parquet(f"{d}/documents.parquet").drop("copies", "rep")
+    extra = plain.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for _, stage in cp.STAGES:
+        want, got = stage(spark, plain, d), stage(spark, extra, d)
+        assert got.columns == extra.columns + want.columns[len(plain.columns):]
+        rows = got.collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in want.collect())
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHING)
+    own = plain.withColumns({"copy": F.lit("x"), "Source_Words": F.lit("y")})
+    got = mixing.mixed_documents(own)
+    assert got.columns == [*plain.columns, "copy", "source_words", "source_target"] and dict(got.dtypes)["copy"] == "int"
