@@ -94,16 +94,20 @@ def readiness(spark, d):
     return found.select("id", "job", gr.readiness_text(F.col("missing")).alias("readiness"), F.size("missing").cast("bigint").alias("missing_count"))
 
 
-@query("transition_length", with_views(
-    """select p.source, p.target, case when p.source = p.target then 0 when a.src is null or b.src is null then null else r.hops end hops
-    from {trade_pairs} p left join reach r on r.source = p.source and r.node = p.target
-    left join (select distinct src from links) a on a.src = p.source left join (select distinct src from links) b on b.src = p.target""",
+_REACH = (
     "links as materialized (select job src, skill dst from {trade_graph} union select skill, job from {trade_graph})",
     """reach(source, node, hops) using key (source, node) as (
     select source, source, 0 from {trade_pairs} p where exists (select 1 from links where src = p.source)
     union
     select r.source, l.dst, min(r.hops + 1) from reach r join links l on l.src = r.node
-      left join recurring.reach o on o.source = r.source and o.node = l.dst where o.node is null group by r.source, l.dst)"""))
+      left join recurring.reach o on o.source = r.source and o.node = l.dst where o.node is null group by r.source, l.dst)""",
+)
+
+
+@query("transition_length", with_views(
+    """select p.source, p.target, case when p.source = p.target then 0 when a.src is null or b.src is null then null else r.hops end hops
+    from {trade_pairs} p left join reach r on r.source = p.source and r.node = p.target
+    left join (select distinct src from links) a on a.src = p.source left join (select distinct src from links) b on b.src = p.target""", *_REACH))
 def transition_length(spark, d):
     """Hops between neighbouring customers over the parts they bought."""
     graph = SkillGraph.from_edges(load(spark, d, "trade_graph"))
@@ -134,7 +138,15 @@ def transition_steps(spark, d):
     return paths.path_steps(paths.shortest_paths(graph, pairs), graph)
 
 
-@query("trade_paths")
+@query("trade_paths", with_views(
+    """select source, target, hops, array_to_string(path, ' > ') path, array_to_string(list_filter(path, lambda x: x[1] = 'P'), ' > ') skills_to_learn,
+      array_to_string(list_filter(path, lambda x: x[1] = 'C' and x <> source and x <> target), ' > ') stepping_stones from walk where togo = 0""",
+    *_REACH,
+    """walk(source, target, hops, node, togo, path) as (
+    select p.source, p.target, r.hops, p.source, r.hops, [p.source] from {trade_pairs} p join reach r on r.source = p.target and r.node = p.source
+    union all
+    select w.source, w.target, w.hops, min(l.dst), w.togo - 1, list_append(any_value(w.path), min(l.dst)) from walk w join links l on l.src = w.node
+      join reach r on r.source = w.target and r.node = l.dst and r.hops = w.togo - 1 where w.togo > 0 group by w.source, w.target, w.hops, w.togo)"""))
 def trade_paths(spark, d):
     """Paths with their skills and stepping stones on the large, sparse graph."""
     graph = SkillGraph.from_edges(load(spark, d, "trade_graph"))
