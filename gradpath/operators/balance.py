@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradpath.functions.numeric import unit
+from gradpath.operators import pivots
 from gradpath.operators.knn import nearest
 from gradpath.schema import FEATURES, LABEL
 from gradpath.session import cut_lineage
@@ -53,14 +54,15 @@ def smallest_by_hash(df: DataFrame, wanted: int, key: Column) -> DataFrame:
 def class_neighbours(df: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(id, coords, near) among the given rows of encoded profiles.
 
-    All features but CGPA must be whole or half numbers (medians that were filled in may be
-    halves); the search relies on the gap between their values.
+    Where all features but CGPA are whole or half numbers (medians that were filled in may be
+    halves) the search uses the gap between their values; any other numbers are searched by
+    pivot partitions. Both are exact.
     """
     steps = [F.col(f).cast("double") for f in FEATURES if f != "CGPA"]
     off = lambda scale: reduce(lambda a, b: a | b, [c * scale != F.floor(c * scale) for c in steps])
     r = df.agg(F.count_if(off(1)).alias("halves"), F.count_if(off(2)).alias("other")).first()
     if r["other"]:
-        raise ValueError("features other than CGPA must be multiples of 0.5")
+        return pivots.nearest(df, FEATURES, k)
     return nearest(df, FEATURES, k, axis="CGPA", grid_dims=GRID, separation=0.5 if r["halves"] else 1.0)
 
 

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,49 @@ def test_training_rows_with_gaps_are_balanced(spark):
         both = train if order == "split_first" else train.unionByName(test)
         counts = [r["count"] for r in both.groupBy(LABEL).count().collect()]
         assert len(counts) == 2 and counts[0] == counts[1]
+
+
+def plain_neighbours(rows, k):
+    out = {}
+    for i, x in rows:
+        def d2(y):
+            total = 0.0
+            for a, b in zip(x, y):
+                total += (a - b) * (a - b)
+            return total
+        out[i] = sorted((d2(y), j) for j, y in rows if j != i)[:k]
+    return out
+
+
+@pytest.mark.parametrize("n,cell,kind", [(400, 20, "even"), (400, 7, "clumped"), (300, 1000, "even"), (250, 3, "equal"), (4, 2, "even"), (350, 9, "line")])
+def test_pivot_partitions_equal_all_pairs(spark, n, cell, kind):
+    from gradpath.operators import pivots
+
+    rng = np.random.default_rng(n + cell)
+    x = rng.normal(size=(n, 3)) * 5
+    if kind == "clumped":
+        x = np.round(x / 20, 2) + rng.integers(0, 3, (n, 1)) * 40
+        x[0] = 1e4
+    if kind == "equal":
+        x = np.round(rng.normal(size=(n, 3)) * 0.7)
+    if kind == "line":
+        x[:, 1:] = 0.0
+    rows = [(int(i * 3 + 1), [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([(i, *r) for i, r in rows], "id bigint, a double, b double, c double").repartition(3)
+    got = pivots.nearest(df, ["a", "b", "c"], 5, cell=cell, slice_=6).collect()
+    want = plain_neighbours(rows, 5)
+    assert len(got) == n
+    for r in got:
+        assert [(c["d2"], c["id"]) for c in r["near"]] == want[r["id"]]
+        assert all(dict(rows)[c["id"]] == c["coords"] for c in r["near"])
+
+
+def test_balancing_of_fractional_features(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, 20.3 + float(rng.normal()), i % 2, i % 5, i % 3, float(rng.uniform(4, 9)), 0, 1, int(i < 30)) for i in range(90)]
+    df = spark.createDataFrame(data, "id bigint, " + ", ".join(f"{f} double" if f in ("Age", "CGPA") else f"{f} int" for f in FEATURES) + ", PlacedOrNot int")
+    done = ba.balance(df)
+    assert {r["PlacedOrNot"]: r["count"] for r in done.groupBy("PlacedOrNot").count().collect()} == {0: 60, 1: 60}
+    near = {r["id"]: r["near"] for r in ba.class_neighbours(df.filter("PlacedOrNot = 1")).collect()}
+    rows = [(r[0], [float(v) for v in r[1:8]]) for r in data if r[8]]
+    assert {i: [(c["d2"], c["id"]) for c in v] for i, v in near.items()} == plain_neighbours(rows, 5)
