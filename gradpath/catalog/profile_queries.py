@@ -130,6 +130,19 @@ def smote_neighbours(spark, d):
     return ba.neighbour_rows(ba.class_neighbours(_minority(spark, d)))
 
 
+def _broken(part: str) -> str:
+    return part.replace("minority as (select * from encoded where PlacedOrNot = 1)", """minority as (select * replace (Age::double + (id % 7) / 8::double as Age, Internships::double + (id % 5) / 10::double as Internships)
+      from encoded where PlacedOrNot = 1)""")
+
+
+@query("smote_neighbours_broken", with_views("select id, cast(rank as int) as rank, neighbour, round(sqrt(d2), 6) distance from near", *map(_broken, _MINORITY)))
+def smote_neighbours_broken(spark, d):
+    """The same where ages and internships are broken numbers."""
+    part = lambda n, by: (F.col("id") % n).cast("double") / by
+    rows = _minority(spark, d).withColumns({"Age": F.col("Age").cast("double") + part(7, 8), "Internships": F.col("Internships").cast("double") + part(5, 10)})
+    return ba.neighbour_rows(ba.class_neighbours(rows))
+
+
 @query("smote_balance", with_views(
     f"""select id, 0 as copy, {', '.join(f'round({f}::double, 6) {f}' for f in FEATURES)}, PlacedOrNot from encoded
     union all

@@ -217,6 +217,17 @@ def sweep_delta(spark, d):
     return wi.sweep_delta(wi.sweep(encoded(spark, d), ExpressionScorer(), GRID))
 
 
+@query("sweep_grid", with_views(
+    f"""select id, field, value, used, percent, delta, case when delta > 0 then 'up' when delta < 0 then 'down' when delta = 0 then 'same' end sense
+    from (select *, {fr.half_up('(percent - base)', 1)} + 0::double delta from scored) x""",
+    fr.encoded(), "points as (select *, greatest(least(coalesce(nullif(value, 0), low), high), low) used from {grid_points})",
+    f"""scored as (select p.id, p.field, p.value, p.used, case when e.id is not null and p.field <> 'Height' then {fr.percent({f: f"(case when p.field = '{f}' then p.used else e.{f} end)" for f in FEATURES})} end percent,
+      case when e.id is not null and p.field <> 'Height' then {fr.percent({f: f"e.{f}" for f in FEATURES})} end base from points p left join encoded e on e.id = p.id)"""))
+def sweep_grid(spark, d):
+    """Each profile at points of its own, within bounds of its own, from a table."""
+    return wi.sweep_grid(encoded(spark, d), ExpressionScorer(), load(spark, d, "grid_points"))
+
+
 CASES = [
     {"Age": 21, "Internships": 2, "CGPA": 8.5, "HistoryOfBacklogs": 0},
     {"Age": 24, "Internships": 0, "CGPA": 6.25, "HistoryOfBacklogs": 1},

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradpath.functions import bands
 from gradpath.functions.numeric import half_up, percent_of
 from gradpath.operators.scoring import Scorer, own_features
+from gradpath.schema import FEATURES
 
 # The stream that is suggested, and the limits of the suggestions.
 CS = "Computer Science"
@@ -197,6 +198,29 @@ def sweep(df: DataFrame, scorer: Scorer, grid: dict[str, Iterable[float]]) -> Da
     return scored.withColumns({"base_percent": percent(F.col("_base")), "sweep": array}).drop(*variants)
 
 
+def sweep_grid(df: DataFrame, scorer: Scorer, grid: DataFrame) -> DataFrame:
+    """(id, field, value, used, percent, delta, sense): profiles re-scored at the points of a table.
+
+    ``grid(id, field, value, low, high)`` has any number of points for each profile, with the
+    bounds of their own; ``used`` is the value within them, a missing one counting as ``low``.
+    A point is a row beside its profile, scored with the unchanged profile in one call, so
+    a profile with very many points needs no list. Points of unknown fields or profiles
+    come back without a score.
+    """
+    value = F.coalesce(F.nullif(F.col("value").cast("double"), F.lit(0.0)), F.col("low").cast("double"))
+    points = grid.select(F.col("id").alias("_id"), F.col("field").alias("_field"), F.col("value").cast("double").alias("_value"),
+                         F.greatest(F.least(value, F.col("high").cast("double")), F.col("low").cast("double")).alias("_used"))
+    known = F.col("_field").isin(FEATURES) & F.col("id").isNotNull()
+    rows = points.join(df, F.col("_id") == F.col("id"), "left")
+    base = own_features()
+    changed = {f: F.when(F.col("_field") == f, F.col("_used")).otherwise(c) for f, c in base.items()}
+    scored = scorer.score_many(rows, {"_base": base, "_point": changed})
+    delta = half_up(percent(F.col("_point")) - percent(F.col("_base")), 1) + F.lit(0.0)
+    done = scored.select(F.col("_id").alias("id"), F.col("_field").alias("field"), F.col("_value").alias("value"), F.col("_used").alias("used"),
+                         F.when(known, percent(F.col("_point"))).alias("percent"), F.when(known, delta).alias("delta"))
+    return done.withColumn("sense", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").when(F.col("delta") == 0, "same"))
+
+
 def sweep_joint(df: DataFrame, scorer: Scorer, cases: list[dict[str, float]]) -> DataFrame:
     """(id, case, percent, delta): the profile re-scored with several fields changed at once.
 

@@ -54,6 +54,13 @@ select p_partkey row_id, concat(p_brand, ' ', p_type) job,
   case when p_partkey % 17 <> 0 then concat('L', p_size % 20) end langs,
   case when p_partkey % 5 <> 0 then concat('T', p_size) end tools
 from {part}""",
+    # points of the simulator, some beyond their bounds, missing, of unknown fields or profiles
+    "grid_points": """
+select c_custkey + case when o_orderkey % 41 = 0 then 1000000000 else 0 end id,
+  case o_orderkey % 5 when 0 then 'CGPA' when 1 then 'Age' when 2 then 'Internships' when 3 then 'HistoryOfBacklogs' else case when o_orderkey % 9 = 4 then 'Height' else 'CGPA' end end field,
+  case when o_orderkey % 23 = 0 then null else cast(o_orderkey % 40 as double) / cast(4 as double) end as value,
+  cast(c_custkey % 3 as double) low, cast(5 + c_custkey % 6 as double) high
+from {orders} join {customer} on o_custkey = c_custkey""",
     # messages of which some lack their conversation or their turn
     "loose_messages": """
 select case when (conv_id + turn) % 11 = 3 then null else conv_id end conv_id, case when (conv_id + 3 * turn) % 13 = 2 then null else turn end turn, role, text from {conversations}""",
