@@ -41,11 +41,11 @@ FREQUENT = 65_536
 #: (context, byte) pairs that are broadcast at once: 12 bytes each.
 BLOCK = 5_000_000
 #: Text bytes that counting and scoring take at once: a coded byte takes some 60 bytes on the way.
-COUNTED, SCORED = 1 << 20, 4 << 20
+COUNTED, SCORED = 1 << 20, 2 << 20
 #: Pairs that a counting task holds before it hands them on; Spark sums them up before the shuffle.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Coded bytes that are looked up at once.
-PLACES = 1 << 22
+PLACES = 1 << 20
 
 #: Groups that the tree is worked out in below the contexts of two bytes.
 GROUPS = 1024
