@@ -7,6 +7,7 @@ groups, recursion), not in the form the Spark operators compute it.
 from __future__ import annotations
 
 from gradpath.operators.scoring import CARD, CARD_INTERCEPT
+from gradpath.operators.whatif import CS, TEXTS
 from gradpath.schema import FEATURES
 
 # white space of every kind, as the characters themselves
@@ -107,29 +108,23 @@ COMBINED = {
 def scenarios(coefs: dict | None = None, career: bool = False) -> tuple[str, ...]:
     """Fragments ending in ``scenarios``: numbered and ranked scenario rows."""
     base = f"base as (select *, {percent(None, coefs)} orig, {percent(COMBINED, coefs)} comb from encoded)"
-    parts = [
-        ("cgpa", 1, "+1.0 CGPA", "What if you improved your CGPA?", "📚", "CGPA", percent({"CGPA": RAISED["CGPA"]}, coefs),
-         "cast(CGPA as varchar)", f"cast({RAISED['CGPA']} as varchar)", "CGPA: ", "CGPA < 9"),
-        ("int", 2, "Extra Internship", "What if you did one more internship?", "💼", "Internships",
-         percent({"Internships": RAISED["Internships"]}, coefs), "cast(Internships as varchar)", "cast(Internships + 1 as varchar)",
-         "Internships: ", "Internships < 3"),
-        ("back", 3, "Clear Backlogs", "What if you had no history of backlogs?", "✅", "HistoryOfBacklogs",
-         percent({"HistoryOfBacklogs": "0"}, coefs), "'Yes'", "'No'", "Backlogs: ", "HistoryOfBacklogs = 1"),
-        ("cs", 4, "Switch to CS", "What if you switched your stream to Computer Science?", "💻", "Stream",
-         percent({"Stream": "1"}, coefs), "StreamName", "'Computer Science'", "Stream: ", "StreamName <> 'Computer Science' and modified > orig"),
-        ("hostel", 5, "Stay in Hostel", "What if you stayed in a hostel?", "🏢", "Hostel", percent({"Hostel": "1"}, coefs),
-         "'No'", "'Yes'", "Hostel: ", "Hostel = 0 and modified > orig"),
+    parts = [  # number, scenario, its score, old and new value, head of the summary, condition
+        (1, "cgpa", percent({"CGPA": RAISED["CGPA"]}, coefs), "cast(CGPA as varchar)", f"cast({RAISED['CGPA']} as varchar)", "CGPA: ", "CGPA < 9"),
+        (2, "internship", percent({"Internships": RAISED["Internships"]}, coefs), "cast(Internships as varchar)", "cast(Internships + 1 as varchar)", "Internships: ", "Internships < 3"),
+        (3, "backlogs", percent({"HistoryOfBacklogs": "0"}, coefs), "'Yes'", "'No'", "Backlogs: ", "HistoryOfBacklogs = 1"),
+        (4, "stream", percent({"Stream": "1"}, coefs), "StreamName", f"'{CS}'", "Stream: ", f"StreamName <> '{CS}' and modified > orig"),
+        (5, "hostel", percent({"Hostel": "1"}, coefs), "'No'", "'Yes'", "Hostel: ", "Hostel = 0 and modified > orig"),
     ]
-    rows = [
-        f"""select id, {kind} kind, '{title}' title, '{text}' description, '{head}' || {old} || ' → ' || {new} change_summary,
+    rows = []
+    for kind, name, modified, old, new, head, when in parts:
+        title, text, icon, factor = TEXTS[name]
+        rows.append(f"""select id, {kind} kind, '{title}' title, '{text}' description, '{head}' || {old} || ' → ' || {new} change_summary,
 orig original_risk, modified modified_risk, '{icon}' icon, '{factor}' factor_changed, {old} original_value, {new} suggested_value
-from (select *, {modified} modified from base) b where {when}"""
-        for _, kind, title, text, icon, factor, modified, old, new, head, when in parts
-    ]
+from (select *, {modified} modified from base) b where {when}""")
     if career:
-        rows.insert(0, """select b.id, 0 kind, 'Career Path Suggestion' title,
-'Learning these skills can help you transition towards your desired role.' description, 'Learn: ' || learn change_summary,
-orig original_risk, orig modified_risk, '🧠' icon, 'Skills' factor_changed, 'Current Skills' original_value, learn suggested_value
+        title, text, icon, factor = TEXTS["career"]
+        rows.insert(0, f"""select b.id, 0 kind, '{title}' title, '{text}' description, 'Learn: ' || learn change_summary,
+orig original_risk, orig modified_risk, '{icon}' icon, '{factor}' factor_changed, 'Current Skills' original_value, learn suggested_value
 from base b join career c on c.id = b.id and c.learn <> ''""")
     numbered = f"""scenarios as (
 select id, cast(row_number() over (partition by id order by risk_delta desc, scenario_id) as int) rank, title, description, change_summary,

@@ -14,21 +14,19 @@ from gradpath.operators.scoring import ExpressionScorer
 from gradpath.plans import answers
 from gradpath.sources.views import load, with_views
 
-_EMPHASIS = (
-    "'Based on your specific skill profile, your ideal career path is <strong style=\"color:#ffd700; font-size:1.15em; "
-    "text-decoration:underline;\">' || recommended_job || '</strong>.'"
-)
-
-
-@query("advice_cards", with_views(
-    f"""select id, cast(row_number() over (partition by id order by kind) - 1 as int) place, icon, title, text from (
-    select id, 0 kind, '🛠️' icon, 'Skill Development' title, 'Focus heavily on matching industry required skills.' as text from predicted where risk_level = 'HIGH'
-    union all select id, 1, '📈', 'Improve Academics', 'Work on your CGPA and try to secure internships.' from predicted where risk_level = 'HIGH'
-    union all select id, 0, '🤝', 'Networking', 'Connect with alumni and professionals in your target field.' from predicted where risk_level = 'MEDIUM'
-    union all select id, 0, '🚀', 'Prepare for Interviews', 'You are in a great position. Start practicing mock interviews!' from predicted where risk_level = 'LOW'
-    union all select id, 2, '🎯', 'Career Path', {_EMPHASIS} from predicted where recommended_job is not null
-    union all select id, 3, '📚', 'Continuous Learning', 'Keep building projects to stand out to recruiters.' from predicted
-    union all select id, 4, '🛠️', 'Skill Gaps', 'Focus on mastering: ' || missing_skills from predicted where missing_skills <> '') x""", *_PREDICT))
+def _cards_sql() -> str:
+    """Every card a profile can have, from the same constants."""
+    card = lambda kind, icon, title, text, when: f"select id, {kind} kind, '{icon}' icon, '{title}' title, {text} as text from predicted where {when}"
+    rows = [card(k, icon, title, f"'{text}'", f"risk_level = '{level}'") for level, cards in re_.BAND_CARDS.items() for k, (icon, title, text) in enumerate(cards)]
+    rows += [
+        card(2, *re_.ROLE_CARD, f"'{re_.EMPHASIS[0]}' || recommended_job || '{re_.EMPHASIS[1]}'", "recommended_job is not null"),
+        card(3, *re_.BASE_CARD[:2], f"'{re_.BASE_CARD[2]}'", "true"),
+        card(4, *re_.GAP_CARD, f"'{re_.GAP_TEXT}' || missing_skills", "missing_skills <> ''"),
+    ]
+    return f"select id, cast(row_number() over (partition by id order by kind) - 1 as int) place, icon, title, text from ({' union all '.join(rows)}) x"
+
+
+@query("advice_cards", with_views(_cards_sql(), *_PREDICT))
 def advice_cards(spark, d):
     ready = engine(spark, d, catalogue_graph(spark, d))
     done = answers.predict(ready, load(spark, d, "profiles"), load(spark, d, "skills"), load(spark, d, "desired"))

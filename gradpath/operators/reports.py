@@ -19,6 +19,11 @@ BAND_CARDS = {
 }
 ROLE_CARD = ("🎯", "Career Path")
 GAP_CARD = ("🛠️", "Skill Gaps")
+GAP_TEXT = "Focus on mastering: "
+EMPHASIS = (
+    'Based on your specific skill profile, your ideal career path is <strong style="color:#ffd700; font-size:1.15em; text-decoration:underline;">',
+    "</strong>.",
+)
 HISTORY_RUNS = 5  # Fixed value: runs of a conversation that are kept as context.
 TURN_BLOCK = 1000  # turns per block when counting runs of one conversation
 
@@ -33,16 +38,12 @@ def advice_cards(level: Column, role: Column, missing: Column) -> Column:
         return F.array(*[_card(i, t, F.lit(x)) for i, t, x in BAND_CARDS[which]])
 
     first = F.when(level == "HIGH", band("HIGH")).when(level == "MEDIUM", band("MEDIUM")).otherwise(band("LOW"))
-    emphasis = F.concat(
-        F.lit("Based on your specific skill profile, your ideal career path is "
-              '<strong style="color:#ffd700; font-size:1.15em; text-decoration:underline;">'),
-        role, F.lit("</strong>."),
-    )
+    emphasis = F.concat(F.lit(EMPHASIS[0]), role, F.lit(EMPHASIS[1]))
     rest = F.array_compact(
         F.array(
             F.when(blank_to_null(role).isNotNull(), _card(*ROLE_CARD, emphasis)),
             _card(BASE_CARD[0], BASE_CARD[1], F.lit(BASE_CARD[2])),
-            F.when(F.size(missing) > 0, _card(*GAP_CARD, F.concat(F.lit("Focus on mastering: "), F.array_join(missing, ", ")))),
+            F.when(F.size(missing) > 0, _card(*GAP_CARD, F.concat(F.lit(GAP_TEXT), F.array_join(missing, ", ")))),
         )
     )
     return F.concat(first, rest)
