@@ -152,14 +152,37 @@ def listed_skills(graph: SkillGraph, skills: DataFrame) -> DataFrame:
     return own.repartition(shuffle_tasks(own), "id") if graph.is_small else own
 
 
+def dealt_by_skill(own: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``own`` (id, skill, ...) and ``adj`` (src, ...) with a ``salt`` to be joined by as well.
+
+    A skill with more than its share of a task is heavy: its persons are dealt over as many
+    salts as there are tasks, and its edges are repeated for each. There can be no more
+    heavy skills than tasks; all others have salt 0.
+    """
+    tasks = shuffle_tasks(own)
+    counts = cut_lineage(own.groupBy("skill").agg(F.count("*").alias("n")))
+    share = F.lit((counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / tasks)
+    heavy = [r["skill"] for r in counts.filter(F.col("n") > share).collect()]  # fewer than tasks
+    if not heavy:
+        return own.withColumn("salt", F.lit(0)), adj.withColumn("salt", F.lit(0))
+    salt = F.when(F.col("skill").isin(heavy), F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).otherwise(0)
+    salts = F.when(F.col("src").isin(heavy), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
+    return own.withColumn("salt", salt), adj.withColumn("salt", F.explode(salts))
+
+
 def votes(graph: SkillGraph, own: DataFrame) -> DataFrame:
     """(id, key, votes): neighbours of a person's skills; a skill listed twice votes twice.
 
-    ``key`` is the neighbour's number, in a graph that was not measured its name.
+    ``key`` is the neighbour's number, in a graph that was not measured its name. Beyond
+    what may be broadcast, heavy skills are dealt over all tasks.
     """
+    if graph.is_small or graph.numbers is None:
+        met = own.join(graph.adj_small, own["skill"] == F.col("src"))
+    else:
+        mine, edges = dealt_by_skill(own, graph.adj)
+        met = mine.join(edges.withColumnRenamed("salt", "_salt"), (F.col("skill") == F.col("src")) & (F.col("salt") == F.col("_salt")))
     return (
-        own.join(graph.adj_small, own["skill"] == F.col("src"))
-        .groupBy("id", F.col(_key(graph)).alias("key"))
+        met.groupBy("id", F.col(_key(graph)).alias("key"))
         .agg(F.sum("times").alias("votes"))
     )
 

@@ -159,3 +159,31 @@ def test_edge_order_holds_any_row_and_place(spark):
     rows = [(2**62, 5), (2**62, 2**31 - 1), (2**62 + 1, 0), (3, 2**21)]
     got = spark.createDataFrame(rows, "ord_row bigint, ord_pos int").orderBy(edge_order()).collect()
     assert [tuple(r) for r in got] == sorted(rows)
+
+
+def test_beyond_broadcast_and_a_skill_held_by_everyone(spark, monkeypatch):
+    import random
+
+    from gradpath.operators import paths
+
+    rng = random.Random(3)
+    edges = sorted({(f"J{rng.randrange(60)}", f"s{rng.randrange(40)}") for _ in range(400)} | {(f"J{k}", "hot") for k in range(60)})
+    frame = spark.createDataFrame([(j, s, i, 0) for i, (j, s) in enumerate(edges)], "job string, skill string, ord_row bigint, ord_pos int")
+    listed = skills_of(spark, {i: ["hot", *(f"s{rng.randrange(45)}" for _ in range(i % 4))] for i in range(400)})
+    targets = spark.createDataFrame([(i, f"J{i % 70}") for i in range(400)], "id bigint, job string")
+    pairs = spark.createDataFrame([(f"J{k}", f"J{(k * 7) % 60}") for k in range(60)], "source string, target string")
+
+    def results(graph):
+        frames = [gr.recommend_topk(graph, listed, 3), gr.gaps(graph, targets, listed), gr.gap_map_nodes(graph, targets, listed), paths.shortest_paths(graph, pairs)]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    small = gr.SkillGraph.from_edges(frame)
+    want = results(small)
+    monkeypatch.setattr(gr, "BROADCAST_BYTES", -1)
+    large = gr.SkillGraph.from_edges(frame)
+    assert small.is_small and not large.is_small
+    assert results(large) == want
+    own, _ = gr.dealt_by_skill(gr.listed_skills(large, listed), large.adj)
+    held = own.groupBy("skill", "salt").count().filter("skill = 'hot'").select("count").collect()
+    sizes = sorted(r["count"] for r in held)
+    assert len(sizes) == 4 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
