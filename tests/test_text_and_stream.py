@@ -183,15 +183,15 @@ def test_requests_are_answered_or_rejected_with_reasons(spark):
     assert {r["id"] for r in answers.rejected(requests).collect()} == {2}
 
 
-def test_steps_are_forgotten(spark):
-    from pathlib import Path
-
+def test_steps_are_forgotten(spark, tmp_path, monkeypatch):
     from gradpath import session
 
-    kept = session.cut_lineage(spark.range(3))
-    assert kept.count() == 3
-    folder = Path(session.steps_folder(spark).removeprefix("file:"))
+    folder = tmp_path / "steps"  # of its own, as other tests still read the session's tables
+    monkeypatch.setattr(session, "steps_folder", lambda _: str(folder))
+    assert session.cut_lineage(spark.range(3)).count() == 3
     assert any(folder.iterdir())
+    session.forget_steps(spark)
+    assert not folder.exists()
 
 
 def test_messages_without_a_place_come_back(spark):
