@@ -187,3 +187,24 @@ def test_beyond_broadcast_and_a_skill_held_by_everyone(spark, monkeypatch):
     held = own.groupBy("skill", "salt").count().filter("skill = 'hot'").select("count").collect()
     sizes = sorted(r["count"] for r in held)
     assert len(sizes) == 4 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_skill_search_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abAB é") for _ in range(rng.randrange(1, most)))
+    names = sorted({word(9) for _ in range(160)} | {"İa", "ab%", "a_b"})
+    people = {i: set(rng.sample(names, rng.randrange(0, 12))) for i in range(12)}
+    texts = [""] * 5 + ["%", "_", "a", "AB", "zz", "abz", None] + [word(6) for _ in range(60)]
+    asked = [(q, rng.randrange(14), t) for q, t in enumerate(texts)]
+    lower = {r["t"]: r["low"] for r in spark.createDataFrame([(t,) for t in names + [t for t in texts if t]], "t string").selectExpr("t", "lower(t) low").collect()}
+    want = {
+        (q, k, n)
+        for q, i, t in asked if t is not None
+        for k, n in enumerate([n for n in names if (lower[t] if t else "") in lower[n] and n not in people.get(i, ())][:7], 1)
+    }
+    catalogue = spark.createDataFrame([(n,) for n in names + names[:9]] + [(None,)], "skill string")
+    chosen = spark.createDataFrame([(i, n) for i, held in people.items() for n in held], "id bigint, skill string")
+    got = search.skill_search(spark.createDataFrame(asked, "query_id bigint, id bigint, text string"), chosen, catalogue, page=7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
