@@ -1,10 +1,10 @@
 """Tree ensembles grown together: all learners and all folds share one aggregation a level.
 
-Every feature is cut into quantile bins once, and a row becomes its bin numbers. Growing a
-level of all trees is one job: tasks add up, for each (fit, tree, node, feature, bin), the
-first-order term, the second-order term and the number of the rows they hold, Spark sums
-these over the tasks, and the driver, which holds sums of the size of the model only, picks
-the splits. A fit leaves the rows of its held-out fold aside, so five folds and the full
+Every feature is cut into quantile bins once, and a row becomes its bin numbers, kept in
+blocks that the tasks hold. Growing a level of all trees is one job of one stage: tasks add
+up, for each (fit, tree, node, feature, bin), the first-order term, the second-order term and
+the number of the rows they hold, Spark sums these over the tasks, and the driver, which
+holds sums of the size of the model only, picks the splits. A fit leaves the rows of its held-out fold aside, so five folds and the full
 model of each learner cost the jobs of one.
 
 Learners:
@@ -17,18 +17,20 @@ Learners:
 
 Terms are summed as whole numbers (24 bits behind the point), so sums, and with them the
 trees, do not depend on partitions or their order. Of equal gains the first feature and
-the lowest cut win. The log-odds of the boosted fits are kept with the rows and written
-anew every few rounds; a task adds the trees since then.
+the lowest cut win. The log-odds of the boosted fits are kept with the rows; each round adds its
+trees to them, and every few rounds the rows are written anew.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradpath.operators.trees import Trees, empty
 from gradpath.session import cut_lineage
@@ -42,8 +44,8 @@ TOGETHER = 10
 UNIT = float(1 << 24)
 #: A split that gains no more than this is none.
 LEAST_GAIN = 1e-9
-#: (row, tree, feature) triples that a task works on at once.
-PAIRS = 1 << 20
+#: Bytes of a level's sums up to which the driver adds up those of all tasks.
+DIRECT = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -103,19 +105,26 @@ def poisson_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(POISSON, (mixed >> np.uint64(11)).astype(float) / 2.0**53, "right")
 
 
-def _rows(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
-    """(key, label, fold, bins, log-odds of the boosted fits) of a batch."""
-    block = lambda c, kind, width: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(batch), -1) if len(batch) else np.zeros((0, width), kind)
-    return np.asarray(batch.column("key")), np.asarray(batch.column("y")).astype(float), np.asarray(batch.column("fold")), block("b", np.uint8, features), block("m", np.float64, 0)
+#: A block of rows: key, label, fold, bins (features x rows), log-odds (boosted fits x rows).
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _packed(block: np.ndarray) -> pa.Array:
-    width = block.dtype.itemsize * block.shape[1]
-    raw = np.ascontiguousarray(block).tobytes()
-    return pa.array([raw[i * width : (i + 1) * width] for i in range(len(block))], pa.binary())
+def _down(tree: tuple[list[np.ndarray], list[np.ndarray]], b: np.ndarray) -> np.ndarray:
+    """The place in its level that each row of ``b`` (features x rows) reaches, as many levels down as given."""
+    at, row, flat = np.zeros(b.shape[1], np.int64), np.arange(b.shape[1]), b.ravel()
+    for feature, place in zip(*tree):
+        at = 2 * at + (flat[feature[at] * b.shape[1] + row] > place[at])
+    return at
 
 
-STATE = "key bigint, y int, fold int, b binary, m binary"
+def _written(rows: RDD, spark: SparkSession) -> RDD:
+    """The blocks, written to the shared folder and read again."""
+    df = spark.createDataFrame(rows.map(lambda block: (bytearray(pickle.dumps(block)),)), "block binary")
+    return _blocks(df)
+
+
+def _blocks(df: DataFrame) -> RDD:
+    return cut_lineage(df).rdd.map(lambda r: pickle.loads(r[0]))
 
 
 @dataclass
@@ -135,6 +144,7 @@ class Grower:
         self.bins = max((len(c) for c in cuts), default=0) + 1
         self.boosted = [i for i, f in enumerate(fits) if f.learner.kind != "forest"]
         shares = {r["fold"]: (r["n"], r["ones"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).collect()}  # a row a fold
+        self.chosen: dict[tuple[int, int], np.ndarray] = {}
         self.trees = []
         for f in fits:
             n, ones = (sum(v[k] for fold, v in shares.items() if fold != f.held) for k in (0, 1))
@@ -145,92 +155,88 @@ class Grower:
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not len(batch):
+                    continue
                 x = np.asarray(batch.column("x").flatten(), dtype=float).reshape(len(batch), len(cuts))
-                b = np.stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)], axis=1).astype(np.uint8) if len(batch) else np.zeros((0, len(cuts)), np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _packed(b), _packed(np.tile(starts, (len(b), 1)))], ["key", "y", "fold", "b", "m"])
+                b = np.stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)]).astype(np.uint8)
+                m = np.tile(starts[:, None], (1, len(batch)))
+                block = np.array(batch.column("key")), np.asarray(batch.column("y")).astype(float), np.array(batch.column("fold")), b, m
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
+        self.spark = rows.sparkSession
         typed = rows.select(F.col("key").cast("bigint"), F.col("y").cast("int"), F.col("fold").cast("int"), "x")
-        self.state = cut_lineage(typed.mapInArrow(coded, STATE)).persist()
-        self.written = 0  # boosted trees that the written log-odds hold
+        dealt = typed.repartition(max(self.spark.sparkContext.defaultParallelism, 1))
+        self.state = _blocks(dealt.mapInArrow(coded, "block binary")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.before: RDD | None = None  # what the rows come from until they are computed
 
     def close(self) -> None:
+        self._forget()
         self.state.unpersist()
 
-    def _stacked(self, wanted: list[tuple[int, slice]]) -> Trees:
-        """Trees of several fits as one ensemble that goes by bin numbers."""
-        nodes = max((self.trees[i].feature.shape[1] for i, _ in wanted), default=1)
-        wide = lambda x, part, fill: np.pad(x[part], ((0, 0), (0, nodes - x.shape[1])), constant_values=fill)
-        columns = [(wide(self.trees[i].feature, part, -1), wide(self.places[i], part, 0), wide(self.trees[i].value, part, 0)) for i, part in wanted]
-        feature, cut, value = (np.concatenate(c) for c in zip(*columns)) if columns else (np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 1)))
-        return Trees(feature, cut, value, value, value)
-
-    def _margins_of(self, until: int):
-        """A function of (bins, written log-odds): the log-odds after ``until`` trees."""
-        parts = [(i, slice(min(self.written, self.fits[i].learner.trees), min(until, self.fits[i].learner.trees))) for i in self.boosted]
-        later, edges = self._stacked(parts), np.cumsum([0] + [p.stop - p.start for _, p in parts])
-        index = np.arange(len(later.feature))
-
-        def run(b: np.ndarray, m: np.ndarray) -> np.ndarray:
-            if not len(index) or not len(b):
-                return m
-            added = later.value[index, later.ends(b)]
-            return m + np.stack([added[:, i:j].sum(axis=1) for i, j in zip(edges[:-1], edges[1:])], axis=1)
-
-        return run
-
-    def _level(self, growing: list[_Growing], done: int) -> np.ndarray:
+    def _forget(self) -> None:
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+
+    def _levels(self, fit: int, tree: int, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(features, bin numbers) of the upper levels of a tree; a row in a leaf goes left."""
+        feature, place = self.trees[fit].feature[tree], self.places[fit][tree]
+        parts = [slice(2**k - 1, 2 ** (k + 1) - 1) for k in range(depth)]
+        return [np.maximum(feature[p], 0).astype(np.int64) for p in parts], [np.where(feature[p] >= 0, place[p], 255).astype(np.uint8) for p in parts]
+
+    def _level(self, growing: list[_Growing], level: int) -> np.ndarray:
         """(slot, feature, bin, 3) sums of the open nodes, slots numbered through all growing trees."""
-        features, bins, seed, count = len(self.cuts), self.bins, self.seed, len(growing)
-        margins_of, now = self._margins_of(done), self._stacked([(g.fit, slice(g.tree, g.tree + 1)) for g in growing])
-        slot, slots = np.full(now.feature.shape, -1), 0
-        for j, g in enumerate(growing):
-            slot[j, g.open_] = slots + np.arange(len(g.open_))
+        features, bins, seed = len(self.cuts), self.bins, self.seed
+        of, tasks, slots = {i: k for k, i in enumerate(self.boosted)}, [], 0
+        for g in growing:
+            slot = np.full(2**level, len(g.open_))  # rows outside the open nodes go to one slot more
+            slot[np.array(g.open_) - (2**level - 1)] = np.arange(len(g.open_))
+            used = np.flatnonzero(np.any([self._allowed(g, node) for node in g.open_], axis=0))
+            tasks.append((self._levels(g.fit, g.tree, level), slot, slots, len(g.open_), self.fits[g.fit].held, of.get(g.fit), g.tree, used))
             slots += len(g.open_)
-        held = np.array([-2 if self.fits[g.fit].held is None else self.fits[g.fit].held for g in growing])
-        of = {i: k for k, i in enumerate(self.boosted)}
-        drawn = [(j, g.tree) for j, g in enumerate(growing) if g.fit not in of]
-        column = np.array([of.get(g.fit, 0) for g in growing])
-        width, step = features * bins, max(PAIRS // (count * features), 1)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, trees = np.zeros((3, slots * width)), np.arange(count)
-            for batch in batches:
-                whole = _rows(batch, features)
-                for lo in range(0, len(batch), step):
-                    key, y, fold, b, m = (x[lo : lo + step] for x in whole)
-                    p = 1 / (1 + np.exp(-margins_of(b, m))) if m.shape[1] else np.zeros((len(y), 1))
-                    at = slot[trees, now.ends(b)]
-                    at[fold[:, None] == held] = -1
-                    p = p[:, column]
-                    a, h, n = y[:, None] - p, p * (1 - p), np.ones(at.shape)
-                    for j, tree in drawn:
-                        n[:, j] = h[:, j] = poisson_weights(key, tree, seed)
-                        a[:, j] = n[:, j] * y
-                    row, j = np.nonzero((at >= 0) & (n > 0))
-                    cell = (at[row, j][:, None] * width + (np.arange(features) * bins + b)[row]).ravel()
-                    for k, term in enumerate((a, h, n)):
-                        value = term[row, j]
-                        total[k] += np.bincount(cell, np.repeat(np.round(value * UNIT) if k < 2 else value, features), slots * width)
-            hit = np.flatnonzero(total[2])
-            yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(t[hit].astype(np.int64)) for t in total)], ["cell", "a", "h", "n"])
-
-        summed = self.state.mapInArrow(run, "cell bigint, a bigint, h bigint, n bigint").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ahn"])
-        got = summed.toArrow()  # open nodes x features x bins at most, whatever the number of rows
-        out = np.zeros((slots * width, 3))
-        out[np.asarray(got["cell"])] = np.stack([np.asarray(got["a"]) / UNIT, np.asarray(got["h"]) / UNIT, np.asarray(got["n"])], axis=1)
-        return out.reshape(slots, features, bins, 3)
+
+        def run(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+            total = np.zeros((slots, features, bins, 3))
+            for key, y, fold, b, m in blocks:
+                drawn = {}
+                for tree, slot, first, count, held, column, number, used in tasks:
+                    at = slot[_down(tree, b)]
+                    if held is not None:
+                        at[fold == held] = count
+                    if column is None:
+                        if number not in drawn:
+                            drawn[number] = poisson_weights(key, number, seed).astype(float)
+                        n = drawn[number]
+                        terms = [np.round(n * y * UNIT), np.round(n * UNIT), n]
+                    else:
+                        p = 1 / (1 + np.exp(-m[column]))
+                        terms = [np.round((y - p) * UNIT), np.round(p * (1 - p) * UNIT), None]
+                    at *= bins
+                    for f in used:
+                        cell = at + b[f]
+                        for k, term in enumerate(terms):
+                            total[first : first + count, f, :, k] += np.bincount(cell, term, (count + 1) * bins)[: count * bins].reshape(count, bins)
+            yield total.astype(np.int64)
+
+        summed = self.state.mapPartitions(run)
+        # small sums are added up in the driver, large ones by tasks first
+        size = slots * features * bins * 24
+        got = summed.treeReduce(np.add, depth=2 if size > DIRECT else 1)  # open nodes x features x bins, whatever the number of rows
+        self._forget()
+        return got / np.array([UNIT, UNIT, 1.0])
 
     def _split(self, growing: list[_Growing], sums: np.ndarray) -> None:
         """Splits the open nodes where that gains anything; the children become the open ones."""
         nodes = [(g, node) for g in growing for node in g.open_]
         kinds = [self.fits[g.fit].learner for g, _ in nodes]
         allowed = np.array([self._allowed(g, node) for g, node in nodes])
+        any_ = allowed.argmax(axis=1)  # one that was added up
         feature, place, gain = best_splits(sums, kinds, allowed)
         for g in growing:
             g.open_ = []
         for k, (g, node) in enumerate(nodes):
             t, learner, tree = self.trees[g.fit], kinds[k], g.tree
-            whole = sums[k, 0].sum(axis=0)
+            whole = sums[k, any_[k]].sum(axis=0)
             if not node:
                 self._set(t, learner, tree, 0, whole)
             if gain[k] <= LEAST_GAIN:
@@ -247,8 +253,10 @@ class Grower:
         n = len(self.cuts)
         if self.fits[g.fit].learner.kind != "forest":
             return np.ones(n, bool)
-        chosen = np.random.default_rng([self.seed, g.tree, node]).permutation(n)[: max(int(np.sqrt(n)), 1)]
-        return np.isin(np.arange(n), chosen)
+        if (g.tree, node) not in self.chosen:  # the same for the fits of all folds
+            chosen = np.random.default_rng([self.seed, g.tree, node]).permutation(n)[: max(int(np.sqrt(n)), 1)]
+            self.chosen[g.tree, node] = np.isin(np.arange(n), chosen)
+        return self.chosen[g.tree, node]
 
     @staticmethod
     def _set(t: Trees, learner: Learner, tree: int, node: int, sums: np.ndarray) -> None:
@@ -257,18 +265,29 @@ class Grower:
         t.value[tree, node] = learner.rate * a / below if below > 0 else 0.0
         t.cover[tree, node], t.rows[tree, node] = (h if learner.kind == "newton" else n), int(n)
 
-    def _margins(self, done: int) -> None:
-        """Write the rows anew with the log-odds after ``done`` trees."""
-        margins_of, features = self._margins_of(done), len(self.cuts)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, _, _, b, m = _rows(batch, features)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "y", "fold", "b")), _packed(margins_of(b, m))], ["key", "y", "fold", "b", "m"])
-
-        old, self.state = self.state, cut_lineage(self.state.mapInArrow(run, STATE)).persist()
-        old.unpersist()
-        self.written = done
+    def _margins(self, r: int) -> None:
+        """The rows with what the trees of round ``r`` add to their log-odds. They are computed by the
+        next level's job, and written every ``kept`` rounds, which keeps their lineage short."""
+        added = []
+        for k, i in enumerate(self.boosted):
+            learner, trees = self.fits[i].learner, self.trees[i]
+            if r < learner.trees:
+                value = trees.value[r].copy()
+                for node in np.flatnonzero(trees.feature[r, : 2**learner.depth - 1] < 0):
+                    value[2 * node + 1] = value[node]  # rows in a leaf go left
+                added.append((k, self._levels(i, r, learner.depth), value[2**learner.depth - 1 :]))
+
+        def run(block: Block) -> Block:
+            m = block[4].copy()
+            for k, tree, value in added:
+                m[k] += value[_down(tree, block[3])]
+            return *block[:4], m
+
+        self._forget()
+        moved = self.state.map(run)
+        if (r + 1) % self.kept == 0:
+            moved = _written(moved, self.spark)
+        self.before, self.state = self.state, moved.persist(StorageLevel.MEMORY_AND_DISK)
 
     def grow(self) -> list[Trees]:
         """All trees of all fits."""
@@ -280,11 +299,11 @@ class Grower:
                 growing += [_Growing(i, k, [0]) for k in now if k < f.learner.trees]
             level = 0
             while growing:
-                self._split(growing, self._level(growing, r))
+                self._split(growing, self._level(growing, level))
                 level += 1
                 growing = [g for g in growing if g.open_ and level < self.fits[g.fit].learner.depth]
-            if self.boosted and (r + 1) % self.kept == 0 and r + 1 < rounds:
-                self._margins(r + 1)
+            if self.boosted and r + 1 < rounds:
+                self._margins(r)
         return self.trees
 
 

@@ -124,3 +124,19 @@ def test_one_class_one_row_and_constant_features(spark):
         df = spark.createDataFrame(data, schema)
         for trees in gw.grow(df, gw.cut_points(df, "x", 2), [Fit(learner) for learner in (FOREST, GRADIENT, NEWTON)]):
             assert np.isfinite(trees.probability(np.array([[1.0, 2.0]]))).all() and (trees.feature == -1).all()
+
+
+def test_a_level_is_one_job_of_one_stage_without_a_shuffle(spark):
+    """Hundreds of levels follow each other, so what a job costs decides how long a training takes."""
+    _, df = table(spark)
+    grower, jobs = gw.Grower(df, gw.cut_points(df, "x", 4), [Fit(NEWTON), Fit(GRADIENT)]), []
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    try:
+        grower.state.count()
+        sc.setJobGroup("grow-levels", "levels")
+        grower.grow()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("grow-levels")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        grower.close()
+    assert 0 < len(jobs) <= 3 * 3 and all(len(j.stageIds) <= 2 for j in jobs)
