@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gradpath.functions.sizing import BROADCAST_BYTES, broadcast_if_small, measured_bytes, shuffle_tasks
 from gradpath.functions.text import blank_to_null, strip
+from gradpath.operators import voting
 from gradpath.session import cut_lineage
 
 
@@ -196,9 +197,11 @@ def recommend_topk(graph: SkillGraph, skills: DataFrame, k: int) -> DataFrame:
 
     First met means: by the skill's place in the person's list, then by the edge's place in
     the catalogue. That is looked up only for the roles whose votes reach the k-th place,
-    all ties included.
+    all ties included. With a small graph all of it happens in a task's arrays.
     """
     own = listed_skills(graph, skills)
+    if graph.is_small and graph.numbers is not None:
+        return voting.topk(graph.numbers, graph.adj, own, k)
     by_votes = W.partitionBy("id").orderBy(F.desc("votes"))
     reach = votes(graph, own).withColumn("_r", F.rank().over(by_votes)).filter(F.col("_r") <= k).drop("_r")
     asked = graph.adj.select(F.col("src").alias("skill"), F.col(_key(graph)).alias("key"), F.col("dst").alias("job"), "ord")

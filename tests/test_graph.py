@@ -208,3 +208,18 @@ def test_skill_search_against_all_pairs(spark):
     chosen = spark.createDataFrame([(i, n) for i, held in people.items() for n in held], "id bigint, skill string")
     got = search.skill_search(spark.createDataFrame(asked, "query_id bigint, id bigint, text string"), chosen, catalogue, page=7)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_votes_of_a_small_graph_are_counted_in_tasks(spark, tiny_catalogue):
+    """The same rows as by joins, ties, repeats, null places and null ids among them, and no shuffle of (person, role) rows."""
+    import dataclasses
+
+    graph = gr.SkillGraph.from_catalogue(tiny_catalogue)
+    listed = [(1, 0, "x1"), (1, 1, "y1"), (1, 2, "x1"), (2, 0, "q1"), (2, 1, "SQL"), (3, 0, "nothing"), (4, None, "y1"), (4, 1, "Go"), (5, None, "x1"), (None, 0, "x1"), (6, 0, None)]
+    skills = spark.createDataFrame(listed, "id bigint, pos int, skill string")
+    joined = dataclasses.replace(graph, is_small=False, adj_small=graph.adj)
+    for k in (1, 2, 50):
+        got, want = ([tuple(r) for r in gr.recommend_topk(g, skills, k).collect()] for g in (graph, joined))
+        assert sorted(got) == sorted(want) and got
+    plan = gr.recommend_topk(graph, skills, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
