@@ -46,6 +46,8 @@ UNIT = float(1 << 24)
 LEAST_GAIN = 1e-9
 #: Bytes of a level's sums up to which the driver adds up those of all tasks.
 DIRECT = 1 << 22
+#: (row, tree) pairs of a level that are worth a task of their own.
+SHARE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -165,7 +167,10 @@ class Grower:
 
         self.spark = rows.sparkSession
         typed = rows.select(F.col("key").cast("bigint"), F.col("y").cast("int"), F.col("fold").cast("int"), "x")
-        dealt = typed.repartition(max(self.spark.sparkContext.defaultParallelism, 1))
+        # a level has no more tasks than its rows and trees are worth, since it lasts as long as its job takes to start
+        together = sum(min(TOGETHER, f.learner.trees) if f.learner.kind == "forest" else 1 for f in fits)
+        worth = -(-sum(n for n, _ in shares.values()) * together // SHARE)
+        dealt = typed.repartition(max(min(self.spark.sparkContext.defaultParallelism, worth), 1))
         self.state = _blocks(dealt.mapInArrow(coded, "block binary")).persist(StorageLevel.MEMORY_AND_DISK)
         self.before: RDD | None = None  # what the rows come from until they are computed
 
@@ -221,7 +226,8 @@ class Grower:
         summed = self.state.mapPartitions(run)
         # small sums are added up in the driver, large ones by tasks first
         size = slots * features * bins * 24
-        got = summed.treeReduce(np.add, depth=2 if size > DIRECT else 1)  # open nodes x features x bins, whatever the number of rows
+        # open nodes x features x bins, whatever the number of rows
+        got = summed.treeReduce(np.add, depth=2) if size > DIRECT else sum(summed.collect())
         self._forget()
         return got / np.array([UNIT, UNIT, 1.0])
 

@@ -183,7 +183,10 @@ def earlier_settings(s: Settings = Settings()) -> Settings:
 
 
 def fit_booster(train: DataFrame, s: Settings = Settings(), preprocessor: PipelineModel | None = None, scale: bool = True) -> BoosterModel:
-    preprocessor = preprocessor or fit_preprocessor(train, scale)
+    if preprocessor is None:
+        # written, so that the passes over it don't work it out again each
+        train = cut_lineage(train.select("id", *FEATURES, LABEL))
+        preprocessor = fit_preprocessor(train, scale)
     rows = training_rows(train.withColumn("fold", F.lit(-1)), F.col("id"), preprocessor)
     return BoosterModel(preprocessor, grow(rows, cut_points(rows, "x", len(FEATURES), s.bins), [Fit(learners(s)["xgb"])], s.seed)[0])
 

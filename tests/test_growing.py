@@ -140,3 +140,16 @@ def test_a_level_is_one_job_of_one_stage_without_a_shuffle(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
         grower.close()
     assert 0 < len(jobs) <= 3 * 3 and all(len(j.stageIds) <= 2 for j in jobs)
+
+
+def test_a_level_has_no_more_tasks_than_it_is_worth(spark, monkeypatch):
+    data, df = table(spark)
+    cuts = gw.cut_points(df, "x", 4, 8)
+    grown = []
+    for share, parts in ((gw.SHARE, 1), (len(data) * 2 // 3, 2)):
+        monkeypatch.setattr(gw, "SHARE", share)
+        grower = gw.Grower(df, cuts, [Fit(NEWTON)])
+        assert grower.state.getNumPartitions() == parts
+        grown.append(grower.grow()[0])
+        grower.close()
+    assert np.array_equal(grown[0].cut, grown[1].cut) and np.array_equal(grown[0].value, grown[1].value)
