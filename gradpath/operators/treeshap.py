@@ -6,7 +6,11 @@ feature) or, where the feature is absent, the share of training rows that do. Th
 product game, whose Shapley value has a closed form over the few features of one path, so
 no recursion over the tree is needed and whole batches of rows are one array expression.
 
-The leaf table is small by construction (trees x 2^depth) and goes to the tasks with the
+A tree's cuts divide the features into few cells, in each of which its attributions are the
+same. They are worked out once a cell, so a row takes one look-up a tree. Trees of more
+cells than ``CELLS``, and rows with a value that isn't finite, go through the leaves.
+
+The tables are small by construction (of the size of the trees) and go to the tasks with the
 function; rows are scored where they lie.
 """
 
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradpath.operators.attribution import impact_array
@@ -25,6 +29,8 @@ from gradpath.operators.trees import Trees
 from gradpath.schema import FEATURES
 
 CHUNK = 512  # rows per array expression, to bound a task's memory
+#: Cells of one tree, and of all together, whose attributions are held at most.
+CELLS, ALL_CELLS = 1 << 13, 1 << 20
 
 
 @dataclass
@@ -103,18 +109,83 @@ def shapley(x: np.ndarray, groups: list[LeafGroup]) -> np.ndarray:
     return phi
 
 
+@dataclass
+class Cells:
+    """Attributions of trees by the cell a row is in."""
+
+    cuts: list[np.ndarray]  # of each feature, of all trees together, ascending
+    steps: list[np.ndarray]  # (intervals between the cuts, trees): what a feature's interval adds to the place of the cell
+    phi: np.ndarray  # (cells, features), tree after tree
+    first: np.ndarray  # the place of each tree's first cell
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features) attributions of a block of finite rows."""
+        place = np.tile(self.first, (len(x), 1))
+        for f, cuts in enumerate(self.cuts):
+            if len(cuts):
+                place += self.steps[f][np.searchsorted(cuts, x[:, f], "left")]
+        out = np.zeros((len(x), self.phi.shape[1]))
+        for tree in place.T:
+            out += self.phi[tree]
+        return out
+
+
+def cells_of(trees: list[list[tuple]], features: int) -> tuple[Cells, list[tuple]]:
+    """Cells of the trees, given by their leaves, and the leaves of the trees that have too many."""
+    own, rest, total = [], [], 0
+    for leaves in trees:
+        cuts = [np.unique([b for _, path in leaves for g, (low, high, _) in path.items() if g == f for b in (low, high) if np.isfinite(b)]) for f in range(features)]
+        size = int(np.prod([len(c) + 1.0 for c in cuts]))
+        if size > CELLS or total + size > ALL_CELLS:
+            rest += leaves
+        else:
+            own.append((leaves, cuts))
+            total += size
+    joint = [np.unique(np.concatenate([np.zeros(0), *(cuts[f] for _, cuts in own)])) for f in range(features)]
+    steps = [np.zeros((len(c) + 1, len(own)), np.int64) for c in joint]
+    tables, first = [np.zeros((0, features))], np.zeros(len(own), np.int64)
+    for t, (leaves, cuts) in enumerate(own):
+        first[t] = sum(map(len, tables))
+        sizes = [len(c) + 1 for c in cuts]
+        # an interval holds its upper end
+        inside = np.meshgrid(*[np.append(c, np.inf) for c in cuts], indexing="ij")
+        points = np.stack([p.ravel() for p in inside], axis=1)
+        groups = group_leaves(leaves)[0]
+        tables.append(np.concatenate([shapley(points[i : i + CHUNK], groups) for i in range(0, len(points), CHUNK)]))
+        for f in range(features):
+            interval = np.searchsorted(cuts[f], np.append(joint[f], np.inf), "left")
+            steps[f][:, t] = interval * int(np.prod(sizes[f + 1 :], dtype=np.int64))
+    return Cells(joint, steps, np.concatenate(tables), first), rest
+
+
 @dataclass
 class TreeAttribution:
     groups: list[LeafGroup]
     base_value: float
     inputs: Callable[[], Column] | None = None  # the model's inputs from a profile's features
+    cells: Cells | None = None  # what the groups give, for the trees of few cells
+    others: list[LeafGroup] | None = None  # the groups of the other trees
 
     @classmethod
     def from_trees(cls, trees: Trees) -> "TreeAttribution":
         """Of an ensemble's margin; what is absent is weighed by the cover of the nodes."""
-        leaves = [leaf for t in range(len(trees.feature)) for leaf in leaves_of(trees.nodes(t), 1.0)]
-        groups, base = group_leaves(leaves)
-        return cls(groups, base + trees.start)
+        each = [leaves_of(trees.nodes(t), 1.0) for t in range(len(trees.feature))]
+        groups, base = group_leaves([leaf for leaves in each for leaf in leaves])
+        used = max([len(FEATURES) - 1, *(f for leaves in each for _, path in leaves for f in path)]) + 1
+        cells, rest = cells_of(each, used)
+        return cls(groups, base + trees.start, cells=cells, others=group_leaves(rest)[0])
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features) attributions of a matrix of model inputs."""
+        out = np.zeros_like(x)
+        for i in range(0, len(x), CHUNK):
+            block, part = x[i : i + CHUNK], out[i : i + CHUNK]
+            known = np.isfinite(block).all(axis=1) if self.cells is not None else np.zeros(len(block), bool)
+            if known.any():
+                part[known] = self.cells.of(block[known]) + shapley(block[known], self.others)
+            if not known.all():
+                part[~known] = shapley(block[~known], self.groups)
+        return out
 
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` with ``impacts`` and ``base_value``; base plus impacts is the margin."""
@@ -124,14 +195,12 @@ class TreeAttribution:
 
     def column(self, features: Column) -> Column:
         """Array of attributions for an array column of model inputs, in feature order."""
-        groups = self.groups
-
-        @F.pandas_udf("array<double>")
-        def attribute(batch: pd.Series) -> pd.Series:
-            if batch.empty:
-                return pd.Series([], dtype=object)
-            x = np.vstack(batch.to_numpy()).astype(float)
-            blocks = [shapley(x[i : i + CHUNK], groups) for i in range(0, len(x), CHUNK)]
-            return pd.Series(list(np.vstack(blocks)))
+        values = TreeAttribution(self.groups, 0.0, None, self.cells, self.others).values  # what tasks need
+
+        @F.arrow_udf("array<double>")
+        def attribute(batch: pa.Array) -> pa.Array:
+            x = np.asarray(batch.flatten(), dtype=float).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * x.shape[1]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values(x).ravel()))
 
         return attribute(features)

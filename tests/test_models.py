@@ -154,6 +154,27 @@ def test_shapley_equals_the_sum_over_all_coalitions():
             assert got[r, i] == pytest.approx(phi, abs=1e-12)
 
 
+@pytest.mark.parametrize("cells", [ts.CELLS, 9])
+def test_cells_give_what_the_leaves_give(monkeypatch, cells):
+    monkeypatch.setattr(ts, "CELLS", cells)
+    rng = np.random.default_rng(11)
+    trees = [ts.leaves_of(random_tree(rng, 4, depth, 60), 1.0) for depth in (4, 4, 1, 0, 2)]
+    groups = ts.group_leaves([leaf for leaves in trees for leaf in leaves])[0]
+    found, rest = ts.cells_of(trees, 4)
+    assert bool(rest) == (cells == 9)
+    x = rng.normal(size=(700, 4))
+    cuts = [(f, b) for leaves in trees for _, path in leaves for f, (low, high, _) in path.items() for b in (low, high) if np.isfinite(b)]
+    for r, (f, cut) in enumerate(cuts):
+        x[r, f] = cut  # on a cut
+    x[-4:, 1] = [np.nan, np.inf, -np.inf, 1e300]
+    attribution, met, plain = ts.TreeAttribution(groups, 0.0, None, found, ts.group_leaves(rest)[0]), [], ts.shapley
+    monkeypatch.setattr(ts, "shapley", lambda x, g: met.append(len(x) * sum(len(i.value) for i in g)) or plain(x, g))
+    got = attribution.values(x)
+    assert np.allclose(got, plain(x, groups), rtol=0, atol=1e-12)
+    if not rest:
+        assert sum(met) == 3 * sum(len(g.value) for g in groups)  # only the rows that aren't finite go through the leaves
+
+
 def test_attribution_adds_up_to_the_margin(bundle, profiles):
     explainer = bundle.attribution()
     out = coded(bundle, profiles).withColumn("x", bundle.booster.inputs()).withColumn("phi", explainer.column(F.col("x"))).select("x", "phi").collect()
