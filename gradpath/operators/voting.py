@@ -56,25 +56,28 @@ def best(links: Links, person: np.ndarray, skill: np.ndarray, times: np.ndarray,
     spread = int(person.max()) * width + width if len(person) else 0
     if spread <= max(CELLS, 4 * len(cell)):
         votes = np.bincount(cell, times[row], spread).astype(np.int64)
-        cells = np.flatnonzero(votes)
+        # the k-th largest number of votes of each person, and all that reach it
+        each = votes.reshape(-1, width)
+        least = np.partition(each, width - k, axis=1)[:, width - k] if 1 < k <= width else (each.max(axis=1, initial=0) if k == 1 else np.zeros(len(each), np.int64))
+        kept = (each >= np.maximum(least, 1)[:, None]).ravel()
+        cells = np.flatnonzero(kept)
         votes = votes[cells]
+        # where they were met first
+        near = np.flatnonzero(kept[cell])
     else:
         cells, at = np.unique(cell, return_inverse=True)
         votes = np.bincount(at, times[row], len(cells)).astype(np.int64)
-    # the k-th largest number of votes of each person, and all that reach it
-    who = cells // width
-    by = np.lexsort((-votes, who)) if k > 1 else np.arange(len(who))
-    starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(who)))
-    least = votes[by][starts + np.minimum(sizes, k) - 1] if k > 1 else (np.maximum.reduceat(votes, starts) if len(starts) else votes)
-    kept = votes >= np.repeat(least, sizes)
-    cells, votes = cells[kept], votes[kept]
-    # where they were met first
-    at = np.minimum(np.searchsorted(cells, cell), max(len(cells) - 1, 0))
-    near = np.flatnonzero(cells[at] == cell) if len(cells) else np.zeros(0, np.int64)
+        who = cells // width
+        by = np.lexsort((-votes, who))
+        starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(who)))
+        kept = votes >= np.repeat(votes[by][starts + np.minimum(sizes, k) - 1], sizes)
+        near = np.flatnonzero(kept[at])
+        cells, votes = cells[kept], votes[kept]
+    at = np.searchsorted(cells, cell[near])
     place, seen = pos[row[near]], links.order[edge[near]]
-    by = np.lexsort((seen, place, at[near]))
-    head = by[np.flatnonzero(np.append(True, np.diff(at[near][by]) != 0))] if len(by) else by
+    by = np.lexsort((seen, place, at))
+    head = by[np.flatnonzero(np.append(True, np.diff(at[by]) != 0))] if len(by) else by
     place, seen = np.where(place[head] == NONE, -1, place[head]), np.where(place[head] == NONE, -1, seen[head])
     who = cells // width
     by = np.lexsort((cells, seen, place, -votes, who))

@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gradpath.operators import graph as gr
-from gradpath.operators import search
+from gradpath.operators import search, voting
 from gradpath.sources.readers import catalogue_columns, read_catalogue
 
 
@@ -223,3 +225,26 @@ def test_votes_of_a_small_graph_are_counted_in_tasks(spark, tiny_catalogue):
         assert sorted(got) == sorted(want) and got
     plan = gr.recommend_topk(graph, skills, 1)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_only_pairs_of_the_best_roles_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(4)
+    nodes, degree, persons = 40, 20, 60
+    to = np.concatenate([rng.permutation(nodes)[:degree] for _ in range(nodes)])
+    links = voting.Links(np.arange(nodes), pa.array(map(str, range(nodes))), np.arange(nodes + 1) * degree, to, rng.permutation(len(to)))
+    person, skill = np.repeat(np.arange(persons), 4), rng.integers(0, nodes, persons * 4)
+    times, pos = rng.integers(1, 3, len(person)), np.tile(np.arange(4), persons)
+    wanted = []
+    for p in range(persons):
+        votes, met = {}, {}
+        for s, n, at in zip(skill[person == p], times[person == p], pos[person == p]):
+            for e in range(s * degree, (s + 1) * degree):
+                votes[to[e]] = votes.get(to[e], 0) + n
+                met[to[e]] = min(met.get(to[e], (99, 0)), (at, links.order[e]))
+        wanted += [(p, rank, node, votes[node]) for rank, node in enumerate(sorted(votes, key=lambda v: (-votes[v], *met[v], v))[:2], 1)]
+    looked, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: looked.append(len(v)) or plain(a, v, *rest))
+    for cells in (voting.CELLS, 0):
+        monkeypatch.setattr(voting, "CELLS", cells)
+        assert list(zip(*(c.tolist() for c in voting.best(links, person, skill, times, pos, 2)))) == wanted
+    assert max(looked) < len(person) * degree / 2
