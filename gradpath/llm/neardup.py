@@ -34,6 +34,8 @@ from gradpath.session import cut_lineage
 BANDS, ROWS = 25, 4
 PERMUTATIONS = BANDS * ROWS // 2
 STARS = 1
+#: Text bytes whose shingles are held at once.
+HELD = 1024 * 1024
 _DRAW = np.random.default_rng(20240607)
 _A = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -78,7 +80,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(signed(keys.ravel())))
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), lists], ["id", "n", "f1", "f2", "bands"])
 
-    return map_text(docs, "text", work, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return map_text(docs, "text", work, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>", HELD)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -89,7 +91,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(g)))], ["id", "s"])
 
     named = docs.join(broadcast_if_small(ids.select(F.col("rep").alias("id")), SMALL), "id", "left_semi")
-    return map_text(named, "text", work, "id bigint, s array<bigint>")
+    return map_text(named, "text", work, "id bigint, s array<bigint>", HELD)
 
 
 def _enough(shared: Column, one: Column, other: Column, percent: int) -> Column:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -62,6 +63,16 @@ def test_ftrl_first_step_by_hand():
     assert len(place) == 0  # one gradient of 0.5 is below L1
 
 
+def test_toxicity_holds_the_features_of_little_text():
+    text = " ".join(f"word{i % 5000}" for i in range(120_000))  # about a megabyte
+    batch = pa.RecordBatch.from_arrays([pa.array([text[i : i + 4000] for i in range(0, len(text), 4000)] * 4), pa.array(([0, 1] * len(text))[: 4 * -(-len(text) // 4000)])], ["text", "toxic"])
+    tracemalloc.start()
+    list(toxicity._train(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55e6
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     train = docs.filter(~held_out(F.col("doc_id"), 3))
