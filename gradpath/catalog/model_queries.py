@@ -72,7 +72,8 @@ def _items(df, columns: list[str]):
 def train_report(spark, d):
     """(item, value): hold-out outcome, base value of the booster, size of the graph."""
     graph = gr.SkillGraph.from_edges(bundle(spark, d).edges, measure=False)
-    outcome = _items(_outcome(spark, d), ["n", "true_pos", "false_pos", "true_neg", "false_neg", "accuracy"])
+    base = F.round(F.lit(bundle(spark, d).attribution().base_value), 6)
+    outcome = _items(_outcome(spark, d).withColumn("base_value", base), ["n", "true_pos", "false_pos", "true_neg", "false_neg", "accuracy", "base_value"])
     return outcome.unionByName(_items(graph.summary(), ["jobs", "skills", "nodes", "edges"]))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradpath.catalog import model_queries as mq
 from gradpath.operators import balance as ba
 from gradpath.operators import treeshap as ts
 from gradpath.operators.growing import Fit, cut_points, grow
@@ -50,6 +51,26 @@ def test_report_counts(bundle, profiles):
     assert r["accuracy"] > 0.5
 
 
+def test_the_report_has_the_base_value_of_the_booster(spark, bundle, profiles, monkeypatch):
+    """What the booster's trees are expected to add, node by node, weighed by cover."""
+    held = tr.balanced_split(coded(bundle, profiles).select("id", *FEATURES, LABEL))[1]
+    monkeypatch.setattr(mq, "bundle", lambda spark, d: bundle)
+    monkeypatch.setattr(mq, "training", lambda spark, d: (None, held))
+    model = bundle.booster.model
+
+    def expected(nodes, at=0):
+        node = nodes[at]
+        if node["left"] < 0:
+            return node["prediction"]
+        return sum(nodes[c]["cover"] / node["cover"] * expected(nodes, c) for c in (node["left"], node["right"]))
+
+    base = model.start + sum(expected(model.nodes(t)) for t in range(len(model.feature)))
+    got = {r["item"]: r["value"] for r in mq.train_report(spark, D).collect()}
+    assert got["base_value"] == pytest.approx(base, abs=1e-6)
+    counts = {c: bundle.report[c] for c in ("n", "true_pos", "false_pos", "true_neg", "false_neg", "accuracy")}
+    assert got == {**counts, "base_value": got["base_value"], "jobs": 1, "skills": 2, "nodes": 3, "edges": 2}
+
+
 def test_balancing_before_and_after_the_split(bundle, profiles):
     rows = coded(bundle, profiles).select("id", *FEATURES, LABEL)
     counts = lambda df: {r[LABEL]: r["count"] for r in df.groupBy(LABEL).count().collect()}
